@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import bpe, langid, tokencount
+from .common import bucket_of, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,9 +15,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of every document, learning from three of four folds."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket_of("doc_id", 4) == 2)
+    model = langid.learn(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model).select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count the tokens of every document."""
+    return tokencount.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
+        "op7_language": op7_language,
+        "op9_token_counts": op9_token_counts,
     }
 
 
