@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, linededup, packing, tokencount
+from . import bpe, chat, decontam, langid, linededup, ngramjoin, packing, tokencount
 from .common import bucket_of, table
 
 
@@ -42,6 +42,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under five-word shingles and a Jaccard similarity of 0.8."""
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count the tokens of every document."""
     return tokencount.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -59,6 +64,7 @@ def queries() -> dict:
         "op5_decontamination": op5_decontamination,
         "op6_chat": op6_chat,
         "op7_language": op7_language,
+        "op8_ngram_join": op8_ngram_join,
         "op9_token_counts": op9_token_counts,
         "op10_packing": op10_packing,
     }
