@@ -7,9 +7,9 @@ sets have at least k in common.
 
 * *Light* sets (up to a boundary size) enumerate all subsets of k = 2 members of that prefix; linked
   light sets share one.
-* *Heavy* sets take part with the single members (k = 1) of their prefix in inverted lists; light
-  sets large enough to be linked with a heavy one are guests there. The members two sets share in
-  their lists must reach the number that the overlap still lacks, which prunes most pairs.
+* *Heavy* sets take part with the single members of their prefix (k = 1 + n // 20) in inverted
+  lists; light sets large enough to be linked with a heavy one are guests there. The members two
+  sets share in lists must reach the number that the overlap still lacks, which prunes sets and pairs.
 * The boundary is the size with the least cost: subsets to enumerate against list entries to scan,
   from the histogram of sizes and the skew of a count sketch.
 
@@ -46,7 +46,9 @@ SIMILARITY = 80  # of 100
 CELLS_LOG2 = 20
 BITS_LOG2 = 26
 BLOCK = 1 << 16  # bytes of a block of a sketch or bitmap
-LIST_BLOCK = 256
+LIST_BLOCK = 512
+#: Prefixes of heavy sets are longer by one member in so many, so that linked sets share at least ``n // MARGIN`` members in lists.
+MARGIN = 20
 NO_ID = -(1 << 63)
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -86,13 +88,13 @@ class Rule:
         """Members that linked sets of a and b share."""
         return -(-self.s * (a + b) // (100 + self.s))
 
-    def lacking(self, a, b):
-        """Members that linked sets share within their prefixes at least."""
-        return self.overlap(a, b) - np.minimum(self.least(a) - 1, self.least(b) - 1)
+    def rest(self, n):
+        """Members of a set of n that are not in its lists: those behind its prefix."""
+        return self.least(n) - 1 - n // MARGIN
 
-    def lacking_any(self) -> str:
-        """SQL: a bound from below of ``lacking`` over all partners of a set of ``n``."""
-        return f"floor(n * {self.s * (100 - self.s)}L / {100 * (100 + self.s)}) + 1"
+    def lacking(self, a, b):
+        """Members that linked sets share within their prefixes at least: behind the end of the prefix that ends first, they share no more than the rest of that set."""
+        return np.maximum(1, self.overlap(a, b) - np.maximum(self.rest(a), self.rest(b)))
 
 
 def boundary(sizes: dict[int, int], skew: float, rule: Rule, most: int = 64) -> int:
@@ -102,11 +104,11 @@ def boundary(sizes: dict[int, int], skew: float, rule: Rule, most: int = 64) ->
         return math.comb(max(0, n - rule.least(n) + 2), 2)
 
     def lists(n: int) -> float:
-        return (n - rule.least(n) + 1) * (1 + skew)
+        return (n - rule.rest(n)) * (1 + skew)
 
     def cost(x: int) -> float:
         guests = [n for n in sizes if n <= x and n >= rule.least(x + 1)]
-        return sum(c * (subsets(n) if n <= x else lists(n)) for n, c in sizes.items()) + sum(sizes[n] * (n - rule.least(n) + 1) for n in guests)
+        return sum(c * (subsets(n) if n <= x else lists(n)) for n, c in sizes.items()) + sum(sizes[n] * (n - rule.rest(n)) for n in guests)
 
     return min(range(most + 1), key=lambda x: (cost(x), x))
 
@@ -116,15 +118,15 @@ def keys_of(members: np.ndarray, cells: np.ndarray, light: int, rule: Rule) -> l
     n = len(members)
     if n < 2:  # a set of one is linked with equal sets only
         return []
-    least = rule.least(n)
-    first = members[np.lexsort((members, cells[(members & np.uint64(len(cells) - 1)).astype(np.int64)]))[: n - least + 2]]
+    ordered = members[np.lexsort((members, cells[(members & np.uint64(len(cells) - 1)).astype(np.int64)]))]
     out = []
     if n <= light:
+        first = ordered[: n - rule.least(n) + 2]
         a, b = np.triu_indices(len(first), 1)
         low, high = np.minimum(first[a], first[b]), np.maximum(first[a], first[b])
         out.append((_mixed(low * _FACTORS[0] + _mixed(high)), 0))
     if n > light or n >= rule.least(light + 1):
-        out.append((first[: n - least + 1], 1))
+        out.append((ordered[: n - rule.rest(n)], 1))
     return out
 
 
@@ -141,8 +143,8 @@ def _reduce_blocks(blocks: DataFrame, fold: Callable[[np.ndarray, np.ndarray], n
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["block", "cells"])
 
     rows = blocks.select("block", "cells")
-    once = rows.repartition(64, "block", F.spark_partition_id() % 16).mapInArrow(run, "block int, cells binary")
-    twice = once.repartition(32, "block").mapInArrow(run, "block int, cells binary")
+    once = rows.repartition("block", F.spark_partition_id() % 16).mapInArrow(run, "block int, cells binary")
+    twice = once.repartition("block").mapInArrow(run, "block int, cells binary")
     out = np.zeros(total // np.dtype(dtype).itemsize, dtype)
     per = BLOCK // np.dtype(dtype).itemsize
     for row in twice.collect():  # ``total`` bytes, whatever the input
@@ -245,12 +247,12 @@ def _shared(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, side int, id long, n int")
 
 
-def _pruned(rows: DataFrame, rule: Rule, times: int = 2) -> DataFrame:
+def _pruned(rows: DataFrame, times: int = 2) -> DataFrame:
     """Rows of sets that share enough to be linked with anything."""
     for _ in range(times):
         counts = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
         rows = rows.join(counts, "key", "left_semi")
-        good = rows.groupBy("id", "side").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(f"side = 0 OR c >= {rule.lacking_any()}")
+        good = rows.groupBy("id", "side").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(f"side = 0 OR c >= n div {MARGIN}")
         rows = settle(rows.join(good.select("id", "side"), ["id", "side"], "left_semi"), "ngram-rows")
     return rows
 
@@ -300,21 +302,31 @@ def _neighbours(rows: DataFrame, order: list, gap: int, rule: Rule) -> DataFrame
     """Pairs of different components at most ``gap`` rows apart in some list."""
 
     def run(batches):
-        tail = None
+        tail, found, size = None, [], 0
+
+        def distinct():
+            pairs = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["x", "y"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = [c.to_numpy() for c in batch.columns]
+            old = 0 if tail is None else len(tail[0])
             key, ids, n, comp = new if tail is None else [np.concatenate(x) for x in zip(tail, new)]
-            found = []
             for d in range(1, min(gap, len(key) - 1) + 1):
-                low, high = np.minimum(n[d:], n[:-d]).astype(np.int64), np.maximum(n[d:], n[:-d]).astype(np.int64)
-                at = np.flatnonzero((key[d:] == key[:-d]) & (comp[d:] != comp[:-d]) & (low * 100 >= rule.s * high))
-                found.append(np.stack([np.minimum(ids[at], ids[at + d]), np.maximum(ids[at], ids[at + d])], 1))
+                start = max(0, old - d)  # pairs within the tail were met before
+                k, i, m, c = (x[start:] for x in (key, ids, n, comp))
+                low, high = np.minimum(m[d:], m[:-d]).astype(np.int64), np.maximum(m[d:], m[:-d]).astype(np.int64)
+                at = np.flatnonzero((k[d:] == k[:-d]) & (c[d:] != c[:-d]) & (low * 100 >= rule.s * high))
+                found.append(np.stack([np.minimum(i[at], i[at + d]), np.maximum(i[at], i[at + d])], 1))
+                size += len(at)
             tail = [c[-gap:] for c in (key, ids, n, comp)]
-            if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["x", "y"])
+            if size > 1_000_000:
+                yield distinct()
+                found, size = [], 0
+        if size:
+            yield distinct()
 
     ordered = rows.repartition("key").sortWithinPartitions("key", *order).select("key", "id", "n", "comp")
     return ordered.mapInArrow(run, "x long, y long").distinct()
@@ -411,12 +423,12 @@ def jaccard_components(
     rows = settle(_shared(_emit(docs, words, cells, light, rule)), "ngram-shared")
     reps = members.select("id", "rep").distinct()
     rows = rows.join(reps, "id").select("key", "side", F.col("rep").alias("id"), "n").distinct()
-    rows = _pruned(rows, rule)
+    rows = _pruned(rows)
     sets = settle(_sets(docs, rows.select("id").distinct(), words), "ngram-sets").dropDuplicates(["id"])
 
     links = None
     labelled = rows.withColumn("comp", F.col("id"))
-    for order, gap in ((["n", "id"], 2), ([F.xxhash64("id")], 4), ([F.xxhash64("id", F.lit(1))], 8)):
+    for order, gap in ((["n", "id"], 2), ([F.xxhash64("id")], 3), ([F.xxhash64("id", F.lit(1))], 4)):
         found = settle(_verified(_neighbours(labelled, order, gap, rule), sets, rule), "ngram-links")
         links = found if links is None else links.union(found)
         labels = components(links)
