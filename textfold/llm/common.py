@@ -7,12 +7,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handed to a worker at once are cut into runs of about this many bytes when results are built.
 OUT_BYTES = 16 << 20
+#: Bytes of a block of a table that tasks fill and :func:`reduce_blocks` folds.
+BLOCK_BYTES = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,3 +88,25 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
 def bucket_of(column: str, buckets: int):
     """crc32 of a value as text, modulo ``buckets``: the deal of rows into folds."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % buckets
+
+
+def reduce_blocks(blocks: DataFrame, fold: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: str, total: int) -> np.ndarray:
+    """Fold arrays that tasks sent in blocks of equal size: first many per block, then one. ``total`` bytes in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                new = np.frombuffer(cells, dtype)
+                held[block] = fold(held[block], new) if block in held else new.copy()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["block", "cells"])
+
+    rows = blocks.select("block", "cells")
+    once = rows.repartition("block", F.spark_partition_id() % 16).mapInArrow(run, "block int, cells binary")
+    twice = once.repartition("block").mapInArrow(run, "block int, cells binary")
+    out = np.zeros(total // np.dtype(dtype).itemsize, dtype)
+    per = BLOCK_BYTES // np.dtype(dtype).itemsize
+    for row in twice.collect():  # ``total`` bytes, whatever the input
+        out[row["block"] * per : row["block"] * per + per] = np.frombuffer(row["cells"], dtype)
+    return out

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, linededup, ngramjoin, packing, tokencount
+from . import bpe, chat, decontam, fingerprint, langid, linededup, ngramjoin, packing, quality, tokencount
 from .common import bucket_of, table
 
 
@@ -15,6 +15,20 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint every document and its edited text."""
+    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document, learning labels from four of five folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(bucket_of("doc_id", 5) != 0)
+    vectors = quality.learn_vectors(docs)
+    network = quality.fit(docs, labels, vectors)
+    return quality.score(docs, network, vectors).select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove repeated three-line windows from all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,6 +74,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
+        "op2_fingerprint": op2_fingerprint,
+        "op3_quality": op3_quality,
         "op4_line_dedup": op4_line_dedup,
         "op5_decontamination": op5_decontamination,
         "op6_chat": op6_chat,
