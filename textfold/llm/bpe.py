@@ -19,7 +19,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-from collections.abc import Iterable
 
 import numpy as np
 import regex
@@ -137,9 +136,8 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
     return fold_batches(df.select(id_col, ids_col), make, f"`{id_col}` {kind}, text string")
 
 
-def digest(ids: Iterable[bytes], bpe: ForcedBPE) -> list[list]:
+def digest(ids: list[bytes], bpe: ForcedBPE) -> list[list]:
     """Token counts, digests of the ids and digests of the decoded texts."""
-    ids = list(ids)
     return [
         [len(i) // 4 for i in ids],
         [hashlib.sha256(i).hexdigest() for i in ids],
@@ -147,14 +145,14 @@ def digest(ids: Iterable[bytes], bpe: ForcedBPE) -> list[list]:
     ]
 
 
-def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode every text: ``id_col, n_tokens, ids_sha256, decoded_sha256``."""
+def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Encode and decode every text: ``id_col, n_tokens, ids_sha256, decoded_sha256``, and ``ids`` if asked for."""
 
     def make(columns: list[list]) -> list[list]:
         bpe = load(vocabulary)
-        return [columns[0], *digest((bpe.encode(t or b"") for t in columns[1]), bpe)]
+        ids = [bpe.encode(t or b"") for t in columns[1]]
+        return [columns[0], *digest(ids, bpe), *([ids] if keep_ids else [])]
 
     kind = df.schema[id_col].dataType.simpleString()
-    return fold_batches(
-        df.select(F.col(id_col), F.col(text_col).cast("binary")), make, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
+    return fold_batches(df.select(F.col(id_col), F.col(text_col).cast("binary")), make, schema)

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Texts handed to a worker at once are cut into runs of about this many bytes when results are built.
 OUT_BYTES = 16 << 20
@@ -70,6 +72,22 @@ def fold_batches(df: DataFrame, make: Callable[[list[list]], list[list]], schema
     return df.mapInArrow(run, schema)
 
 
+def append_batches(df: DataFrame, inputs: list[str], make: Callable[[list[list]], list[list]], added: str) -> DataFrame:
+    """``df`` with columns added that ``make`` gives for lists of the values of ``inputs``. The other columns pass by as they are."""
+    new = _arrow_schema(df.sparkSession, added)
+    places = [df.columns.index(c) for c in inputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _runs(batch):
+                columns = make([part.column(k).to_pylist() for k in places])
+                arrays = [*part.columns, *(pa.array(c, t) for c, t in zip(columns, new.types))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, *new.names])
+
+    schema = StructType([*df.schema.fields, *_parse_datatype_string(added).fields])
+    return df.mapInArrow(run, schema)
+
+
 def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     if batch.num_rows == 0:
         return
@@ -79,9 +97,6 @@ def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     return to_arrow_schema(_parse_datatype_string(ddl))
 
 

@@ -18,7 +18,6 @@ an empty table, one of items no hits; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from dataclasses import dataclass
 
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_batches, settle
+from .common import append_batches, settle
 
 WINDOW = 10
 #: Most bytes of item texts that are held in memory and broadcast at once.
@@ -144,54 +143,54 @@ def _count_shingles(docs: DataFrame, text_col: str, block: ItemBlock) -> dict[in
     return {r["shingle"]: r["n"] for r in counted.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}
 
 
-def contamination(
+def annotate(
     docs: DataFrame,
     items: DataFrame,
     size: int = WINDOW,
-    id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``id_col, n_words, n_hit, n_items, items_sha256, contaminated`` and ``hit_runs`` (first word and end of each run of hit words)."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    state = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text"))
-    carried = "runs array<int>, items array<string>"
-    state = state.withColumns({"runs": F.lit(None).cast("array<int>"), "items": F.lit(None).cast("array<string>")})
+    """``docs`` with ``__runs`` (first word and end of each run of hit words) and ``__items`` (ids of the items found) added."""
+    state = docs
     for block, last in _blocks(items, item_col, item_text_col, block_bytes, size):
         block.choose(_count_shingles(docs, text_col, block) if block.windows else {})
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def look(columns: list[list], sent=sent) -> list[list]:
             runs, items = [], []
-            for text, old_runs, old_items in zip(*columns[1:]):
-                hit, found = sent.value.hits(words_of(text))
-                for a, b in zip((old_runs or [])[::2], (old_runs or [])[1::2]):
+            for text, old_runs, old_items in zip(*columns) if len(columns) == 3 else ((t, [], []) for t in columns[0]):
+                hit, found = sent.value.hits(words_of(text.encode("utf-8") if text is not None else None))
+                for a, b in zip(old_runs[::2], old_runs[1::2]):
                     hit[a:b] = True
                 runs.append(np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist())
-                items.append(sorted(found | set(old_items or [])))
-            return [columns[0], columns[1], runs, items]
-
-        def finish(columns: list[list], look=look) -> list[list]:
-            return [columns[0], *_summary(columns[1], *look(columns)[2:])]
-
-        if last:
-            return fold_batches(state, finish, f"`{id_col}` {kind}, {RESULT}")
-        state = settle(fold_batches(state, look, f"`{id_col}` {kind}, text binary, {carried}"), "decontam")
-    raise AssertionError("there is always a last block")
-
-
-RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_runs array<int>"
-
-
-def _summary(texts: list, runs: list[list[int]], items: list[list[str]]) -> list[list]:
-    n_hit = [sum(r[1::2]) - sum(r[::2]) for r in runs]
-    return [
-        [len(words_of(t)) for t in texts],
-        n_hit,
-        [len(i) for i in items],
-        [hashlib.sha256(",".join(i).encode("utf-8")).hexdigest() for i in items],
-        [n > 0 for n in n_hit],
-        runs,
-    ]
+                items.append(sorted(found | set(old_items)))
+            return [runs, items]
+
+        before = [text_col] if state is docs else [text_col, "__runs", "__items"]
+        state = append_batches(state, before, look, "__new_runs array<int>, __new_items array<string>")
+        state = state.select(*docs.columns, F.col("__new_runs").alias("__runs"), F.col("__new_items").alias("__items"))
+        if not last:
+            state = settle(state, "decontam")
+    return state
+
+
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``id_col, n_words, n_hit, n_items, items_sha256, contaminated`` and ``hit_runs`` of every document; options as of :func:`annotate`."""
+    found = annotate(docs.select(id_col, text_col), items, size, text_col, **options)
+
+    def count(columns: list[list]) -> list[list]:
+        return [[len(words_of(t.encode("utf-8") if t is not None else None)) for t in columns[0]]]
+
+    counted = append_batches(found, [text_col], count, "n_words long")
+    ends = F.transform(F.col("__runs"), lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+    return counted.select(
+        id_col,
+        "n_words",
+        F.aggregate(ends, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_hit"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("__runs") > 0).alias("contaminated"),
+        F.col("__runs").alias("hit_runs"),
+    )

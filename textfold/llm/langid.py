@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_batches
+from .common import append_batches
 from .forced import FragmentMemo
 
 LETTERS = regex.compile(r"\p{L}+")
@@ -138,14 +138,18 @@ def learn(
 
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, lang_pred, score`` of every row."""
+    return annotate(df.select(id_col, text_col), model, text_col).select(id_col, "lang_pred", "score")
+
+
+def annotate(df: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``df`` with the prediction and its score added under ``names``."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def make(columns: list[list]) -> list[list]:
         own = sent.value
         if not hasattr(own, "memo"):
             own.memo = FragmentMemo(own.word_scores, 300_000, 40)
-        found = [own.predict(t, own.memo) for t in columns[1]]
-        return [columns[0], [f[0] for f in found], [f[1] for f in found]]
+        found = [own.predict(t, own.memo) for t in columns[0]]
+        return [[f[0] for f in found], [f[1] for f in found]]
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return fold_batches(df.select(F.col(id_col), F.col(text_col)), make, f"`{id_col}` {kind}, lang_pred string, score double")
+    return append_batches(df, [text_col], make, f"`{names[0]}` string, `{names[1]}` double")

@@ -26,7 +26,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(bucket_of("doc_id", 5) != 0)
     vectors = quality.learn_vectors(docs)
     network = quality.fit(docs, labels, vectors)
-    return quality.score(docs, network, vectors).select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return quality.score(docs, network, vectors).select("doc_id", F.coalesce(bucket_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +51,9 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict the language of every document, learning from three of four folds."""
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket_of("doc_id", 4) == 2)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(bucket_of("doc_id", 4) == 2, F.lit(False)))
     model = langid.learn(docs.where(~F.col("held_out")))
-    return langid.identify(docs, model).select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return langid.annotate(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
