@@ -1,19 +1,70 @@
-"""The corpus pipeline: stages that each read what the one before them kept."""
+"""The corpus pipeline: language, lines, near copies, benchmark passages, tokens.
+
+Each stage reads all that the one before it kept, written as Parquet, and returns the columns of
+``documents`` (the last one returns tokens). Rows are only dropped where a stage's decision says so.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textfold.llm import bpe, decontam, langid, linededup, ngramjoin
+from textfold.llm.common import bucket_of, settle, table
+
+#: A document whose best language gets less belief than this is rejected.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents without letters or of no clear language; give those without a language the predicted one."""
+    model = langid.learn(docs.where(bucket_of("doc_id", 4) != 2))
+    told = langid.annotate(docs, model, names=("__lang", "__score"))
+    kept = told.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE))
+    return kept.select(*[F.coalesce("lang", "__lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove later occurrences of repeated three-line windows. Every document stays, shorter where it repeats."""
+    clean = linededup.dedup_lines(docs)
+    return clean.select(*[F.coalesce(F.length("text").cast("long"), "n_chars").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, keep the one with the smallest id."""
+    found = ngramjoin.jaccard_components(docs)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a benchmark item."""
+    found = decontam.annotate(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("__runs") == 0).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode what is left, and decode it again as a proof."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True)
+
 
-from textfold.llm import bpe  # noqa: F401
-from textfold.llm.common import settle, table
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard", near_copies),
+    ("decontamination", decontaminate),
+    ("bpe", tokens),
+]
 
-STAGES: list = []
+#: Learned models and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)
