@@ -1,11 +1,588 @@
-"""Registered queries of the engine and the SQL that states the same."""
+"""Registered queries of the engine and the SQL that states the same.
+
+Every query runs over its whole tables. Where a table lacks what an operator works on (comments, fences,
+padding), the query builds such texts from the table's rows, and the SQL builds the same.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import MODES, PRESETS, Tuning
+from .functions import alphabet, canon, codebook, tokens
+from .functions.lines import split_keep
+from .functions.tokens import get_counter, heuristic_tokens
+from .operators import chunks, codec, repeats, report, select
+from .plans import compress
+from .sources import files, sinks
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with SQL if it has some."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.from_documents(table(spark, sf_dir, "documents"))
+
+
+def sql_tokens(text: str) -> str:
+    """DuckDB SQL of the heuristic count of an expression. Its patterns know no lookahead, so é, which costs nothing, marks the places first."""
+    pattern = (
+        r"''(?i:[stmd]|ll|ve|re)|[\x{4e00}-\x{9fff}]|\r?\n[ \t]*| ?[A-Z][a-z]+| ?[A-Z]+| ?[a-z]+| ?[0-9]{1,3}| {1,4}|\t+|_+"
+        r"| ?[^\s\x1c-\x1f\x{85}\pZ\pL\pN_]+|[\s\x1c-\x1f\x{85}\pZ]+"
+    )
+    marked = f"regexp_replace(regexp_replace({text}, '[A-Z]([0-9_])', 'é\\1', 'g'), '([A-Z])([A-Z][a-z])', '\\1é\\2', 'g')"
+    cost = "CASE WHEN regexp_full_match(p, ' ?[A-Za-z]{13,}') THEN CAST(ceil(length(ltrim(p, ' ')) / 6.0) AS BIGINT) ELSE 1 END"
+    total = f"CAST(coalesce(list_sum(list_transform(regexp_extract_all({marked}, '{pattern}'), lambda p: {cost})), 0) AS BIGINT)"
+    return f"(CASE WHEN length({text}) = 0 THEN 0 ELSE greatest(1, {total}) END)"
+
+
+# ---- token counts
+
+@query(f"SELECT doc_id, {sql_tokens('text')} AS tokens FROM documents")
+def doc_token_count(spark, sf_dir):
+    """Heuristic tokens of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", heuristic_tokens("text").alias("tokens"))
+
+
+@query(f"SELECT lang, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum({sql_tokens('text')}) AS BIGINT) AS tokens FROM documents GROUP BY lang")
+def tokens_by_lang(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", F.length("text").alias("c"), heuristic_tokens("text").alias("t"))
+    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("c").alias("chars"), F.sum("t").alias("tokens"))
+
+
+@query(f"SELECT lang, source, count(*) AS n_docs, CAST(sum({sql_tokens('text')}) AS BIGINT) AS tokens FROM documents GROUP BY ROLLUP (lang, source)")
+def tokens_rollup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", "source", heuristic_tokens("text").alias("t"))
+    return docs.rollup("lang", "source").agg(F.count("*").alias("n_docs"), F.sum("t").alias("tokens"))
+
+
+@query(
+    f"""
+WITH c AS (SELECT {sql_tokens('text')} AS h, CAST(ceil(length(text) / 4.0) AS BIGINT) AS r FROM documents),
+s AS (SELECT count(*) AS n, sum(r) AS tr, sum(h) AS th, avg(abs(h - r) * 100.0 / r) AS e, avg(h / r) AS q, avg(h - r) AS d, stddev_samp(h - r) AS s FROM c)
+SELECT n AS samples, CAST(tr AS BIGINT) AS total_real_tokens, CAST(th AS BIGINT) AS total_heuristic_tokens, round_even(abs(th - tr) * 100.0 / tr, 2) AS aggregate_error_pct,
+       round_even(e, 2) AS mean_sample_error_pct, round_even(q, 4) AS mean_ratio, round_even(d, 2) AS mean_diff_tokens,
+       round_even(d - 1.96 * s / sqrt(n), 3) AS ci_low, round_even(d + 1.96 * s / sqrt(n), 3) AS ci_high FROM s
+"""
+)
+def tokenizer_calibration(spark, sf_dir):
+    """The heuristic count against a quarter of the characters."""
+    docs = table(spark, sf_dir, "documents")
+    return report.calibration(docs, F.ceil(F.length("text") / 4), heuristic_tokens(F.col("text")))
+
+
+@query(f"SELECT doc_id, round_even({sql_tokens('text')} / CAST(ceil(length(text) / 4.0) AS BIGINT), 4) AS ratio FROM documents WHERE length(text) > 0")
+def tokenizer_ratio(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    return report.token_ratio(docs, F.ceil(F.length("text") / 4), heuristic_tokens(F.col("text"))).select("doc_id", "ratio")
+
+
+# ---- repeats
+
+_WORDS = r"""
+words AS (
+  SELECT doc_id, w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\pL\pN_]+')) AS w FROM documents)
+  WHERE regexp_full_match(w, '[A-Za-z_][A-Za-z0-9_]{3,}')
+),
+counted AS (SELECT w AS word, count(*) AS n FROM words GROUP BY w HAVING count(*) >= 3)
+"""
+
+
+@query(f"WITH {_WORDS} SELECT word, n FROM counted")
+def word_candidates(spark, sf_dir):
+    return repeats.word_counts(table(spark, sf_dir, "documents"))
+
+
+@query(
+    f"WITH {_WORDS} SELECT word, n, n * (t - 1) - (t + 1) AS gain FROM (SELECT word, n, {sql_tokens('word')} AS t FROM counted) "
+    "WHERE t > 1 AND n * (t - 1) - (t + 1) >= 2 ORDER BY gain DESC, n DESC, length(word) DESC, sha256(word) LIMIT 200"
+)
+def word_gain_topk(spark, sf_dir):
+    """The 200 words whose replacement saves most, in the order of choice."""
+    words = repeats.word_counts(table(spark, sf_dir, "documents"))
+    cands = words.select(F.sha2("word", 256).alias("id_hash"), F.lit("word").alias("ctype"), F.col("word").alias("content"), "n")
+    scored = select.score(cands, alphabet.Alphabet("single_token"), get_counter(), codebook.get_format("positional"), 2)
+    return scored.orderBy(select.order_key()).limit(200).select(F.col("content").alias("word"), "n", "gain")
+
+
+@query(
+    r"""
+WITH pieces AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\pL\pN_]+|[^\pL\pN_]+')) AS p, generate_subscripts(regexp_extract_all(text, '[\pL\pN_]+|[^\pL\pN_]+'), 1) AS k FROM documents),
+placed AS (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM pieces)
+SELECT p AS content, doc_id AS file_ord, CAST(e - length(p) AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM placed
+WHERE regexp_full_match(p, '[A-Za-z_][A-Za-z0-9_]{3,}')
+"""
+)
+def word_occurrences(spark, sf_dir):
+    """Places of all words that may be candidates."""
+    return repeats.word_occurrences(corpus(spark, sf_dir))
+
+
+@query(
+    """
+WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT line, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM lines GROUP BY line HAVING count(*) >= 2
+"""
+)
+def repeated_lines(spark, sf_dir):
+    return repeats.repeated_lines(corpus(spark, sf_dir))
+
+
+_KEPT_LINES = """
+kept AS (
+  SELECT doc_id, k, CASE WHEN k < len(ls) THEN ls[k] || chr(10) ELSE ls[k] END AS line
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE k < len(ls) OR ls[k] <> ''
+)
+"""
+
+
+@query(
+    f"WITH {_KEPT_LINES} "
+    + " UNION ALL ".join(
+        f"SELECT {n} AS size, sha256(b) AS content_sha, count(*) AS n FROM (SELECT string_agg(line, '') OVER w AS b, count(*) OVER w AS c FROM kept "
+        f"WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)) WHERE c = {n} GROUP BY b HAVING count(*) > 1"
+        for n in range(2, 7)
+    )
+)
+def line_block_candidates(spark, sf_dir):
+    """Blocks of two to six lines, with their breaks, that repeat."""
+    return repeats.block_counts(corpus(spark, sf_dir), 2, 6).select("size", F.sha2("content", 256).alias("content_sha"), "n")
+
+
+@query(
+    f"""
+WITH {_KEPT_LINES},
+lines AS (SELECT doc_id, k, line, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM kept)
+SELECT doc_id, k - 1 AS line_no, CAST(e - length(line) AS BIGINT) AS start, CAST(e AS BIGINT) AS "end" FROM lines
+"""
+)
+def line_offsets(spark, sf_dir):
+    """Where each line begins and ends, by a running sum."""
+    from pyspark.sql import Window
+
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_keep(F.col("text"))).alias("line_no", "line"))
+    end = F.sum(F.length("line")).over(Window.partitionBy("doc_id").orderBy("line_no"))
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), (end - F.length("line")).alias("start"), end.alias("end"))
+
+
+_SPANS = f"""
+WITH {_KEPT_LINES},
+lines AS (SELECT doc_id, k, line, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM kept),
+pairs AS (SELECT doc_id, k, e - length(line) AS s, lead(e) OVER w AS e2, line || lead(line) OVER w AS b FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+twice AS (SELECT doc_id, s, e2 FROM pairs WHERE b IN (SELECT b FROM pairs WHERE b IS NOT NULL GROUP BY b HAVING count(*) > 1))
+"""
+
+
+def _spans(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Lines as intervals, and the two-line blocks that repeat as intervals."""
+    docs = corpus(spark, sf_dir)
+    lines = line_offsets(spark, sf_dir).select(F.col("line_no").alias("id"), F.col("doc_id").alias("file_ord"), "start", "end")
+    blocks = repeats.block_candidates(docs, 2, 2).select(F.lit(0).alias("id"), "file_ord", "start", "end")
+    return lines, blocks
+
+
+@query(_SPANS + "SELECT doc_id, k - 1 AS line_no FROM lines l WHERE length(line) > 0 AND NOT EXISTS (SELECT 1 FROM twice t WHERE t.doc_id = l.doc_id AND t.s < l.e AND l.e - length(l.line) < t.e2)")
+def overlap_antijoin(spark, sf_dir):
+    """Lines that no repeated block covers."""
+    lines, blocks = _spans(spark, sf_dir)
+    return repeats.without_overlap(lines, blocks).select(F.col("file_ord").alias("doc_id"), F.col("id").alias("line_no"))
+
+
+@query(_SPANS + "SELECT count(*) AS n_pairs FROM lines l JOIN twice t ON t.doc_id = l.doc_id AND t.s < l.e AND l.e - length(l.line) < t.e2")
+def overlap_pairs(spark, sf_dir):
+    """How many pairs of a line and a repeated block overlap."""
+    lines, blocks = _spans(spark, sf_dir)
+    return repeats.overlapping_pairs(lines, blocks).agg(F.count("*").alias("n_pairs"))
+
+
+@query(
+    """
+WITH grams AS (SELECT substring(text, k, 40) AS g FROM (SELECT text, unnest(range(1, length(text) - 38)) AS k FROM documents WHERE length(text) >= 40))
+SELECT md5(g) AS gram_md5, count(*) AS n FROM grams GROUP BY g HAVING count(*) >= 2
+"""
+)
+def gram_repeats(spark, sf_dir):
+    """Runs of 40 characters that repeat."""
+    grams = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("(?s)(?=(.{40}))"), F.lit(1))).alias("g"))
+    return grams.groupBy(F.md5("g").alias("gram_md5")).agg(F.count("*").alias("n")).where("n >= 2")
+
+
+@query()
+def gram_closure(spark, sf_dir):
+    """Repeated substrings of 40 to 2000 characters, extended as far as their occurrences agree."""
+    found = repeats.gram_candidates(corpus(spark, sf_dir), 40, 2, 2000)
+    return found.groupBy(F.sha2("content", 256).alias("id_hash"), F.length("content").alias("chars")).agg(F.count("*").alias("n"))
+
+
+@query()
+def candidate_pool(spark, sf_dir):
+    """Words, substrings and blocks in one pool, each content once."""
+    found = repeats.find_repeats(corpus(spark, sf_dir), PRESETS["conservative"])
+    return repeats.candidates_of(found).select("id_hash", "ctype", "n")
+
+
+# ---- fingerprints
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS size, sha256(text) AS sha256 FROM documents")
+def doc_fingerprint(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256"))
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1")
+def exact_duplicates(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+@query(
+    """
+WITH lines AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT line, CAST(('0x' || substring(md5(line), 1, 15)) AS BIGINT) AS hash60 FROM lines
+"""
+)
+def line_hash60(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n", -1)).alias("line")).distinct()
+    return lines.select("line", tokens.line_hash60(F.col("line")).alias("hash60"))
+
+
+# ---- canonical forms
+
+_LICENSE = r"(?i)copyright\s+(?:\(c\)|©|\d{4})|license|spdx-license-identifier|all rights reserved"
+
+
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{_LICENSE}')")
+def license_docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(canon.is_license(F.col("text"))).select("doc_id")
+
+
+@query("SELECT doc_id, '#!/bin/sh' || chr(10) || 'echo ' || text AS text FROM documents")
+def license_header_strip(spark, sf_dir):
+    """Every document behind a first line, a licence in comments, and a command."""
+    head = F.lit("#!/bin/sh\n# Copyright (c) 2024\n#\n# All rights reserved.\n\n")
+    text = F.concat(head, F.lit("echo "), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", canon.strip_license(text, F.lit("sh")).alias("text"))
+
+
+_SHELL_SQL = """
+WITH src AS (SELECT o_orderkey, '#!/bin/sh' || chr(10) || '# order ' || o_orderkey || chr(10) || chr(10) || '  ' || chr(10) || 'echo ' || o_orderpriority || '   ' || chr(10) ||
+  '   # status' || chr(10) || chr(10) || 'exit ' || o_custkey || ' # kept' || chr(10) AS text FROM orders),
+ls AS (SELECT o_orderkey, text, rtrim(unnest(string_split(text, chr(10))), ' ') AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM src),
+f AS (SELECT *, lag(line) OVER (PARTITION BY o_orderkey ORDER BY k) AS before FROM ls WHERE (k = 1 OR NOT starts_with(ltrim(line, ' '), '#')) AND k < len(string_split(text, chr(10)))),
+g AS (SELECT * FROM f WHERE line <> '' OR before <> '')
+SELECT o_orderkey, string_agg(line, chr(10) ORDER BY k) || chr(10) AS text FROM g GROUP BY o_orderkey
+"""
+
+
+@query(_SHELL_SQL)
+def shell_canonicalize(spark, sf_dir):
+    """A script for every order, with comments, blank runs and trailing blanks."""
+    script = F.concat(
+        F.lit("#!/bin/sh\n# order "), F.col("o_orderkey"), F.lit("\n\n  \necho "), F.col("o_orderpriority"), F.lit("   \n   # status\n\nexit "), F.col("o_custkey"), F.lit(" # kept\n")
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", canon.canon_shell(script).alias("text"))
+
+
+@query(
+    """
+WITH src AS (SELECT c_custkey, chr(10) || '# customer' || chr(10) || 'name: ' || c_name || '  ' || chr(10) || chr(10) || chr(10) || '  # segment' || chr(10) || '  segment: ' || c_mktsegment AS text FROM customer),
+ls AS (SELECT c_custkey, rtrim(unnest(string_split(text, chr(10))), ' ') AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM src),
+f AS (SELECT *, lag(line) OVER (PARTITION BY c_custkey ORDER BY k) AS before FROM ls WHERE NOT starts_with(ltrim(line, ' '), '#')),
+g AS (SELECT * FROM f WHERE line <> '' OR before <> '')
+SELECT c_custkey, string_agg(line, chr(10) ORDER BY k) AS text FROM g GROUP BY c_custkey
+"""
+)
+def yaml_canonicalize(spark, sf_dir):
+    doc = F.concat(F.lit("\n# customer\nname: "), F.col("c_name"), F.lit("  \n\n\n  # segment\n  segment: "), F.col("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select("c_custkey", canon.canon_yaml(doc).alias("text"))
+
+
+@query(
+    """
+SELECT s_suppkey, '# ' || s_name || chr(10) || chr(10) || '| name | nation | |' || chr(10) || '|:---|---:|---|' || chr(10) || '| ' || s_name || ' | ' || s_nationkey || ' | |' || chr(10) ||
+  '```sh' || chr(10) || '|  ' || s_name || '  |   ' || chr(10) || chr(10) || chr(10) || '```' || chr(10) || 'end' AS text FROM supplier
+"""
+)
+def markdown_canonicalize(spark, sf_dir):
+    """A page for every supplier: a badge, a padded table, and a fence whose inside stays."""
+    page = F.concat(
+        F.lit("\n# "), F.col("s_name"), F.lit("[![build](https://img.shields.io/x.svg)](https://example.org)  \n\n\n|   name  | nation |  |\n|  :---  | ---: |---|\n|  "),
+        F.col("s_name"), F.lit("   |  "), F.col("s_nationkey"), F.lit("|   |  \n```sh  \n|  "), F.col("s_name"), F.lit("  |   \n\n\n```\n![b](https://codecov.io/a)\nend"),
+    )
+    out = canon.canon_markdown(page)
+    # the line of the lone badge becomes blank, and stays as one empty line
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.replace(out, F.lit("```\n\nend"), F.lit("```\nend")).alias("text"))
+
+
+@query(
+    """
+WITH lines AS (
+  SELECT c_custkey, unnest(['a', '```', c_name, '  ``` x', c_mktsegment, '```', 'z']) AS line, generate_subscripts(['a', '```', c_name, '  ``` x', c_mktsegment, '```', 'z'], 1) AS k FROM customer
+),
+f AS (SELECT *, starts_with(ltrim(line, ' '), '```') AS fence FROM lines)
+SELECT c_custkey, k - 1 AS line_no, fence OR (CAST(sum(CAST(fence AS INTEGER)) OVER (PARTITION BY c_custkey ORDER BY k) AS BIGINT) % 2 = 1) AS fenced FROM f
+"""
+)
+def markdown_fence_state(spark, sf_dir):
+    """For each line of a page, whether it stands in a fence."""
+    lines = F.array(F.lit("a"), F.lit("```"), F.col("c_name"), F.lit("  ``` x"), F.col("c_mktsegment"), F.lit("```"), F.lit("z"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(canon.in_fence(lines)).alias("line_no", "fenced"))
+    return rows.withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query(
+    """
+WITH src AS (SELECT doc_id, replace(text, '. ', '.  ' || chr(10) || ' ' || chr(10)) AS text FROM documents)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY k) || CASE WHEN any_value(ends_with(text, chr(10))) THEN chr(10) ELSE '' END AS text FROM (
+  SELECT doc_id, text, rtrim(unnest(string_split(text, chr(10))), ' ') AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM src) WHERE line <> '' GROUP BY doc_id
+"""
+)
+def blank_line_strip(spark, sf_dir):
+    """Documents whose sentences are parted by blank lines, without these."""
+    text = F.replace(F.col("text"), F.lit(". "), F.lit(".  \n \n"))
+    return table(spark, sf_dir, "documents").select("doc_id", canon.strip_blank_lines(text, F.lit("py")).alias("text"))
+
+
+@query("SELECT event_id, replace(props, ' ', '') AS props FROM events")
+def json_compact(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", canon.canon_json(F.col("props")).alias("props"))
+
+
+_SOURCE = '''"""Module text."""
+import os, sys
+import typing
+
+_private_total_count: int = {key}
+
+def _private_helper_function(value: int) -> int:
+    """Text."""
+    assert value >= 0
+    running_total_value = value + {key}
+    if running_total_value > 3:
+        raise ValueError("a message that is long")
+    return running_total_value
+
+def shown(parser):
+    parser.add_argument("--{name}", help="a text")
+    return _private_helper_function(os.getpid())
+'''
+
+
+@query()
+def python_canonicalize(spark, sf_dir):
+    """A small module for every part, through all passes."""
+    before, after = _SOURCE.split("{name}")
+    pieces = before.split("{key}")
+    text = F.concat(F.lit(pieces[0]), F.col("p_partkey"), F.lit(pieces[1]), F.col("p_partkey"), F.lit(pieces[2]), F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "-")), F.lit(after))
+    return table(spark, sf_dir, "part").select("p_partkey", canon.canon_python(text, MODES["aggressive"][0]).alias("text"))
+
+
+# ---- placeholders and codebooks
+
+
+@query("SELECT ch, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch")
+def corpus_charset(spark, sf_dir):
+    return alphabet.corpus_charset(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT 19968 + i AS cp FROM range(2500) t(i) WHERE NOT EXISTS (SELECT 1 FROM conversations WHERE contains(text, chr(CAST(19968 + i AS INTEGER))))")
+def free_alphabet(spark, sf_dir):
+    """Ideographs that no conversation holds."""
+    return alphabet.free_alphabet(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    """
+WITH used AS (SELECT DISTINCT unicode(c) AS cp FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '')
+SELECT min(cp) AS start, max(cp) AS "end", count(*) AS n FROM (SELECT CAST(cp AS BIGINT) AS cp, cp - row_number() OVER (ORDER BY cp) AS g FROM used) GROUP BY g
+"""
+)
+def codepoint_islands(spark, sf_dir):
+    """Runs of consecutive code points in use."""
+    used = alphabet.corpus_charset(table(spark, sf_dir, "documents")).select(F.conv(F.hex(F.encode("ch", "UTF-32")), 16, 10).cast("long").alias("cp"))
+    return alphabet.islands(used)
+
+
+@query(
+    "SELECT style, count(*) AS n, CAST(sum(t) AS BIGINT) AS total_tokens, round_even(avg(t), 3) AS avg_tokens, min(t) AS min_tokens, max(t) AS max_tokens FROM (SELECT style, "
+    + sql_tokens("ph")
+    + " AS t FROM (SELECT unnest(['single_token', 'prefix_compact', 'guillemet', 'classic', 'section', 'bracket', 'ascii_compact']) AS style, "
+    "unnest([chr(CAST(19967 + i AS INTEGER)), '^' || i, '«' || i || '»', '__s' || i || '__', '§' || i || '§', '⟦' || i || '⟧', '~' || i || '~']) AS ph FROM range(1, 51) r(i))) GROUP BY style"
+)
+def placeholder_costs(spark, sf_dir):
+    return alphabet.style_costs(spark, 50)
+
+
+def _nations(spark, sf_dir) -> dict[str, str]:
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()  # 25 rows, whatever the scale
+    return {f"«{r['n_nationkey'] + 1}»": r["n_name"] for r in rows}
+
+
+@query(
+    """
+SELECT 'positional' AS format, string_agg(n_name, '§' ORDER BY n_nationkey) AS payload, '[MAP:INDEXED sentinel=''§'' seq=''«{:d}»'' start=1 count=' || count(*) || ']' AS header FROM nation
+UNION ALL SELECT 'delimited', string_agg('«' || (n_nationkey + 1) || '»' || chr(10) || n_name, chr(10) || '---§---' || chr(10) ORDER BY n_nationkey), '[MAP:DELIMITED sentinel=''\\n---§---\\n'']' FROM nation
+UNION ALL SELECT 'kv', string_agg('«' || (n_nationkey + 1) || '»=' || n_name, chr(10) ORDER BY n_nationkey), '[MAP:KV nl=''␤'']' FROM nation
+UNION ALL SELECT 'json', '{' || string_agg('"«' || (n_nationkey + 1) || '»":"' || n_name || '"', ',' ORDER BY n_nationkey) || '}', '[MAP:JSON]' FROM nation
+"""
+)
+def mapping_formats(spark, sf_dir):
+    """The names of nations as a codebook in all formats."""
+    mapping = dict(sorted(_nations(spark, sf_dir).items(), key=lambda kv: codebook.natural_key(kv[0])))
+    rows = [(f.name, *f.dump(mapping)) for f in codebook.FORMATS.values()]
+    return spark.createDataFrame(rows, "format string, payload string, header string")
+
+
+@query()
+def mapping_costs(spark, sf_dir):
+    """Tokens of the formats, each read back."""
+    rows = codebook.compare_formats(_nations(spark, sf_dir), tokens.heuristic_count)
+    return spark.createDataFrame([tuple(r.values()) for r in rows], "format string, payload_chars int, payload_tokens int, protocol_tokens int, total_tokens int, exact_match boolean")
+
+
+# ---- selection, encoding, chunks, reports
+
+
+def _word_codebook(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, the words chosen for replacement with their places, and the documents encoded with them."""
+    docs = corpus(spark, sf_dir)
+    found = repeats.word_candidates(docs).withColumn("rank", F.lit(0)).withColumn("id_hash", F.sha2("content", 256))
+    start = alphabet.choose_style(docs)
+    chosen, _ = select.select_replacements(repeats.first_type(found), docs, start, get_counter(), codebook.get_format(), 2)
+    chosen = sinks.settle(chosen, "chosen")
+    return docs, chosen, sinks.settle(codec.encode(docs, chosen), "encoded")
+
+
+@query(
+    f"""WITH {_WORDS}, scored AS (SELECT word, n, {sql_tokens('word')} AS t FROM counted)
+SELECT word, n FROM scored WHERE t > 1 AND n * (t - 1) - (t + 1) >= 2"""
+)
+def greedy_words(spark, sf_dir):
+    """The words chosen, with the number of their places: words never overlap, so all that pay for themselves at one token are."""
+    _, chosen, _ = _word_codebook(spark, sf_dir)
+    counts = chosen.groupBy(F.col("content").alias("word")).agg(F.count("*").alias("n"))
+    return counts
+
+
+@query()
+def greedy_select(spark, sf_dir):
+    """The choice from the whole pool of words, substrings and blocks."""
+    docs = corpus(spark, sf_dir)
+    found = sinks.settle(repeats.find_repeats(docs, PRESETS["conservative"]), "repeats")
+    chosen, _ = select.select_replacements(found, docs, alphabet.choose_style(docs), get_counter(), codebook.get_format(), 15)
+    return chosen.groupBy("number", "placeholder", "ctype", F.sha2("content", 256).alias("id_hash")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, true AS ok FROM documents")
+def encode_decode_roundtrip(spark, sf_dir):
+    """All documents compacted with words, substrings and blocks, and decoded again with the codebook read from its text."""
+    result = compress.compact(corpus(spark, sf_dir), tuning=PRESETS["conservative"])
+    mapping = codebook.get_format().load(result.payload, result.header)
+    back = codec.decode(result.encoded, mapping).select("path", F.col("file_ord").alias("doc_id"), F.sha2("text", 256).alias("sha256"))
+    proof = codec.verify(result.target, result.encoded, mapping).select("path", "ok")
+    return back.join(proof, "path").select("doc_id", "sha256", "ok")
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, length(text) AS total_len, true AS within FROM documents")
+def chunk_documents(spark, sf_dir):
+    """All documents in chunks of 1000 characters, put together again."""
+    docs = corpus(spark, sf_dir)
+    cut = chunks.chunk(docs, [], 1000)
+    whole = chunks.reassemble(cut).join(cut.groupBy("path").agg((F.max(F.length("text")) <= 1000).alias("within")), "path")
+    return whole.join(docs.select("path", F.col("file_ord").alias("doc_id")), "path").select("doc_id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("total_len"), "within")
+
+
+@query(
+    "SELECT conv_id || '/' || turn || '.txt' AS path, sha256(coalesce(text, '')) AS sha256_full, 200 AS chunk_size, length(coalesce(text, '')) AS total_len FROM conversations"
+)
+def chunk_manifest(spark, sf_dir):
+    """The manifest of all turns of all conversations in chunks of 200 characters."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("", F.col("conv_id"), F.lit("/"), F.col("turn"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    told = chunks.chunk_manifest(turns, chunks.chunk(turns, [], 200), 200)
+    return told.where(F.size("chunks") >= 1).select("path", "sha256_full", "chunk_size", F.col("total_len").cast("long").alias("total_len"))
+
+
+@query(
+    f"""WITH {_WORDS}, scored AS (SELECT word, n, {sql_tokens('word')} AS t FROM counted), chosen AS (SELECT word FROM scored WHERE t > 1 AND n * (t - 1) - (t + 1) >= 2),
+used AS (SELECT DISTINCT doc_id, w FROM words WHERE w IN (SELECT word FROM chosen))
+SELECT d.doc_id AS i, format('{{:s}}/{{:08d}}.txt', d.lang, d.doc_id) AS path, sha256(d.text) AS sha, count(u.w) AS n_ph
+FROM documents d LEFT JOIN used u ON d.doc_id = u.doc_id GROUP BY d.doc_id, d.lang, d.text"""
+)
+def manifest_index(spark, sf_dir):
+    """Every document with its place, digest, and the number of tokens it uses."""
+    docs, chosen, encoded = _word_codebook(spark, sf_dir)
+    listed = docs.select("path", "file_ord", F.sha2("text", 256).alias("sha256"))
+    rows = report.manifest(listed, codec.codebook(encoded, chosen), None)
+    place = docs.select(F.col("file_ord").alias("i"), F.regexp_replace("path", "^[^/]*/", "").alias("path"))
+    return rows.drop("path").join(place, "i").select("i", "path", "sha", F.size("ph").cast("long").alias("n_ph"))
+
+
+_SAVED = r"""
+WITH src AS (SELECT replace(text, '. ', '.  ' || chr(10) || ' ' || chr(10)) AS o, rtrim(regexp_replace(replace(text, '. ', '.' || chr(10)), '[ ]*\n', chr(10), 'g'), ' ') AS e FROM documents),
+t AS (SELECT CAST(sum(length(o)) AS BIGINT) AS oc, CAST(sum(length(e)) AS BIGINT) AS ec, CAST(sum({o}) AS BIGINT) AS ot, CAST(sum({e}) AS BIGINT) AS et FROM src)
+""".format(o=sql_tokens("o"), e=sql_tokens("e"))
+
+
+@query(
+    _SAVED
+    + """
+SELECT oc AS orig_total, ec AS new_total, CAST(1000 AS BIGINT) AS mapping_size, oc - ec AS saved_chars, round_even((oc - ec) * 100.0 / oc, 2) AS saved_pct, oc - ec - 1000 AS net_saved_chars,
+  round_even((oc - ec - 1000) * 100.0 / oc, 2) AS net_saved_pct, ot AS orig_tokens_est, et AS new_tokens_est, CAST(250 AS BIGINT) AS mapping_tokens_est, CAST(10 AS BIGINT) AS protocol_tokens, ot - et - 260 AS net_saved_tokens FROM t
+"""
+)
+def savings_report(spark, sf_dir):
+    """What stripping blank lines saves, with a codebook of 1000 characters on the other side."""
+    docs = table(spark, sf_dir, "documents")
+    original = docs.select(F.replace(F.col("text"), F.lit(". "), F.lit(".  \n \n")).alias("text"))
+    new = original.select(canon.strip_blank_lines(F.col("text"), F.lit("py")).alias("text"))
+    return report.savings(original, new, 1000, protocol_tokens=10)
+
+
+@query("SELECT conv_id, string_agg('--- FILE: ' || path || ' ---' || chr(10) || text || chr(10), '' ORDER BY path) AS bundle FROM (SELECT conv_id, format('{:04d}.txt', turn) AS path, text FROM conversations) GROUP BY conv_id")
+def stdout_bundle(spark, sf_dir):
+    """Each conversation as one stream of its turns."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.format_string("%04d.txt", "turn").alias("path"), "text")
+    return sinks.bundle(turns, "conv_id")
+
 
-def queries() -> dict:
-    return {}
+@query()
+def ablation_matrix(spark, sf_dir):
+    """Styles and formats against each other, on the texts of all benchmark items."""
+    items = table(spark, sf_dir, "benchmark")
+    docs = items.select(F.format_string("%06d.txt", "item_id").alias("path"), F.col("item_id").alias("file_ord"), "text")
+    rows = compress.ablation(docs, tuning=Tuning(14, 2000, 2, 2, 10, 2))
+    names = ["config", "ph_style", "map_format", "orig_tokens", "comp_tokens", "map_tokens", "proto_tokens", "net_tokens", "net_pct", "replacements", "roundtrip_ok"]
+    kinds = "config string, ph_style string, map_format string, orig_tokens long, comp_tokens long, map_tokens long, proto_tokens long, net_tokens long, net_pct double, replacements int, roundtrip_ok boolean"
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], kinds)
 
 
-def oracle_sql() -> dict:
-    return {}
+@query()
+def stage_report(spark, sf_dir):
+    """Token economics of compacting all documents, by stage."""
+    return compress.summary(compress.compact(corpus(spark, sf_dir), tuning=PRESETS["conservative"]))
