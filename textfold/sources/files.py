@@ -5,6 +5,8 @@ A corpus is a DataFrame ``path, file_ord, text``; ``file_ord`` carries the order
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ POINTLESS_SUFFIXES = (
 #: Folders that hold no sources.
 POINTLESS_FOLDERS = ".git .hg .svn __pycache__ node_modules .venv venv .pytest_cache .mypy_cache .tox .eggs build dist".split()
 
+#: Most bytes of files that the driver reads itself.
+DRIVER_LIMIT = 64 << 20
+
 
 def suffix_of(path: Column) -> Column:
     """The last suffix of a file name in small letters, without its dot."""
@@ -35,13 +40,16 @@ def scan(
 ) -> DataFrame:
     """Metadata of files: ``path, size, sha256, is_single_file``, and ``content`` if asked for.
 
-    ``paths`` is a folder (read recursively), a file, or a list of files. Filters on the path stand below
-    the reading of contents.
+    ``paths`` is a folder (read recursively), a file, or a list of files. Spark's readers pass over names that begin with a dot or an underscore; those of
+    local folders are read on the driver, within a limit.
     """
     listed = isinstance(paths, list)
     roots = paths if listed else [paths]
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
-    rows = rows.withColumn("path", local_path(F.col("path")))
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([r for r in roots if not _passed_over(os.path.basename(r))] or roots)
+    rows = rows.select(local_path(F.col("path")).alias("path"), "length", "content")
+    rest = list(_passed_over_files(roots, exclude_pointless))
+    if rest:
+        rows = rows.unionByName(spark.createDataFrame(rest, "path string, length long, content binary"))
     root = None if listed else roots[0].removeprefix("file://").rstrip("/")
     single = F.lit(False) if listed else F.col("path") == F.lit(root)
     relative = F.col("path") if listed else F.expr(f"substring(path, {len(root) + 2})")
@@ -56,6 +64,35 @@ def scan(
     return rows.select(*columns, *(["content"] if with_content else []))
 
 
+def _passed_over(name: str) -> bool:
+    return name.startswith(("_", "."))
+
+
+def _passed_over_files(roots: list[str], exclude_pointless: bool):
+    """``path, length, content`` of local files that Spark's readers pass over."""
+    room = DRIVER_LIMIT
+
+    def found():
+        for root in roots:
+            root = root.removeprefix("file://")
+            if os.path.isfile(root):
+                yield root, False
+            for folder, folders, names in os.walk(root):
+                if exclude_pointless:
+                    folders[:] = [f for f in folders if not f.startswith(".") and f not in POINTLESS_FOLDERS]
+                below = any(map(_passed_over, os.path.relpath(folder, root).split(os.sep))) and folder != root
+                yield from ((os.path.join(folder, n), below) for n in names)
+
+    for path, below in found():
+        if below or _passed_over(os.path.basename(path)):
+            with open(path, "rb") as f:
+                data = f.read()
+            room -= len(data)
+            if room < 0:
+                raise ValueError(f"files whose names begin with a dot or an underscore hold more than {DRIVER_LIMIT} bytes")
+            yield path, len(data), bytearray(data)
+
+
 def scan_list(spark: SparkSession, list_file: str, **options) -> DataFrame:
     """Metadata of the files that a text file names, one on a line."""
     paths = [r["value"].strip() for r in spark.read.text(list_file).collect() if r["value"].strip()]
