@@ -58,7 +58,7 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "o/x/a.txt").read_text() == "one"
     with pytest.raises(ValueError):
         sinks.write_texts(corpus(spark, {"../evil": "x"}), str(tmp_path / "o"))
-    assert sinks.bundle(docs).first()["bundle"] == "--- FILE: b.txt ---\n\n--- FILE: x/a.txt ---\none\n"
+    assert sinks.bundle(docs).first()["bundle"] == "--- FILE: b.txt ---\n--- FILE: x/a.txt ---\none\n"
     assert "<textfold>" in sinks.envelope("h", "p", "body\n")
     sinks.write_json(str(tmp_path / "j.json"), {"é": 1})
     assert json.loads((tmp_path / "j.json").read_text()) == {"é": 1}
@@ -80,7 +80,7 @@ def test_command_line(spark, tree, tmp_path, capsys):
     capsys.readouterr()
     assert cli.main(["-i", str(tree / "m0.py"), "-e"]) == 0
     assert capsys.readouterr().out.startswith("<textfold>")
-    assert cli.main(["-i", str(tmp_path / "none")]) != 0
+    assert cli.main(["-i", str(tmp_path / "none")]) == 1
 
 
 def test_stream(spark, tmp_path):

@@ -57,10 +57,12 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     """0 if all went well, 1 on errors, 2 if the round trip failed."""
+    from pyspark.errors import PySparkException
+
     args = parser().parse_args(argv)
     try:
         return run(args)
-    except (OSError, ValueError) as e:
+    except (OSError, ValueError, PySparkException) as e:
         print(f"textfold: {e}", file=sys.stderr)
         return 1
 
