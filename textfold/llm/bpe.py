@@ -63,7 +63,7 @@ class ForcedBPE:
         self.by_rank = np.array([self.id_of[b] for b in order], "<u4")
         self.core = tiktoken.Encoding("forced", pat_str=PIECES, mergeable_ranks=order, special_tokens={})._core_bpe
         self.pieces = regex.compile(PIECES)
-        self.memo = FragmentMemo(self._fragment)
+        self.memo = FragmentMemo(self._fragment, 250_000)
         blank = np.zeros(256, bool)
         blank[[9, 10, 11, 12, 13, 32]] = True
         self.blank = blank

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import map_arrow
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET = 2048
@@ -206,7 +207,7 @@ def format_windows(
 
         yield from _batches(made(), names)
 
-    return rows.mapInArrow(run, _schema(kind))
+    return map_arrow(rows, run, _schema(kind))
 
 
 def read_back(windows: DataFrame, in_order: bool = False) -> DataFrame:
@@ -246,4 +247,4 @@ def read_back(windows: DataFrame, in_order: bool = False) -> DataFrame:
 
         yield from _batches(made(), names, 2000)
 
-    return rows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    return map_arrow(rows, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")

@@ -15,7 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Texts handed to a worker at once are cut into runs of about this many bytes when results are built.
-OUT_BYTES = 16 << 20
+OUT_BYTES = 8 << 20
+#: Rows that go to a worker at once.
+BATCH_ROWS = 2000
 #: Bytes of a block of a table that tasks fill and :func:`reduce_blocks` folds.
 BLOCK_BYTES = 1 << 16
 
@@ -29,12 +31,11 @@ def workspace(spark: SparkSession) -> str:
     """The folder that driver and executors share for intermediate tables.
 
     ``spark.checkpoint.dir`` names it on a cluster; where that is unset (a local
-    session) a folder of this machine is set and used.
+    session) a folder of this machine is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.path.join(tempfile.gettempdir(), f"textfold-work-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = os.path.join(tempfile.gettempdir(), f"textfold-work-{spark.sparkContext.applicationId}")
     return root
 
 
@@ -46,13 +47,12 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`settle` that no later step reads."""
-    for name in df.inputFiles()[:1]:
-        folder = name.rsplit("/", 1)[0]
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches of a size that leaves memory for long texts. The session keeps the setting, as plans read it when they run."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df.mapInArrow(run, schema)
 
 
 def fold_batches(df: DataFrame, make: Callable[[list[list]], list[list]], schema: str) -> DataFrame:
@@ -69,7 +69,7 @@ def fold_batches(df: DataFrame, make: Callable[[list[list]], list[list]], schema
                 columns = make([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out_type.types)], schema=out_type)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def append_batches(df: DataFrame, inputs: list[str], make: Callable[[list[list]], list[list]], added: str) -> DataFrame:
@@ -85,7 +85,7 @@ def append_batches(df: DataFrame, inputs: list[str], make: Callable[[list[list]]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, *new.names])
 
     schema = StructType([*df.schema.fields, *_parse_datatype_string(added).fields])
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -118,8 +118,8 @@ def reduce_blocks(blocks: DataFrame, fold: Callable[[np.ndarray, np.ndarray], np
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["block", "cells"])
 
     rows = blocks.select("block", "cells")
-    once = rows.repartition("block", F.spark_partition_id() % 16).mapInArrow(run, "block int, cells binary")
-    twice = once.repartition("block").mapInArrow(run, "block int, cells binary")
+    once = map_arrow(rows.repartition("block", F.spark_partition_id() % 16), run, "block int, cells binary")
+    twice = map_arrow(once.repartition("block"), run, "block int, cells binary")
     out = np.zeros(total // np.dtype(dtype).itemsize, dtype)
     per = BLOCK_BYTES // np.dtype(dtype).itemsize
     for row in twice.collect():  # ``total`` bytes, whatever the input

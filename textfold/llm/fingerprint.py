@@ -33,12 +33,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_batches
+from .common import fold_batches, map_arrow
 
 LEAST, NORMAL, MOST = 6, 14, 64
 STRICT, LOOSE = 1 << 27, 1 << 30
 ROWS_PER_RANGE = 5000
-MOST_RANGES = 4096
+MOST_RANGES = 50_000
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
 _ENTRY = np.dtype([("digest", ">u4"), ("length", ">u2")])
 
@@ -169,4 +169,4 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_arrow(rows, run, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

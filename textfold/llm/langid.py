@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append_batches
+from .common import append_batches, map_arrow
 from .forced import FragmentMemo
 
 LETTERS = regex.compile(r"\p{L}+")
@@ -80,8 +80,8 @@ def learn(
     lang_col: str = "lang",
     order_by: Column | None = None,
     max_docs: int = 3000,
-    max_words: int = 30_000,
-    max_grams: int = 60_000,
+    max_words: int = 15_000,
+    max_grams: int = 25_000,
 ) -> LanguageModel:
     """Learn from all rows of ``df`` that have a text and a language, within the bounds."""
     rows = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(order_by if order_by is not None else F.xxhash64(text_col), F.lit(1 << 20)).alias("deal"))
@@ -118,8 +118,8 @@ def learn(
             )
 
     schema = "lang string, gram string, n long"
-    words = sample.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    grams = words.mapInArrow(spread, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    words = map_arrow(sample, count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = map_arrow(words, spread, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
     def top(counts: DataFrame, most: int) -> dict[str, tuple[float, ...]]:
         order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -148,7 +148,7 @@ def annotate(df: DataFrame, model: LanguageModel, text_col: str = "text", names:
     def make(columns: list[list]) -> list[list]:
         own = sent.value
         if not hasattr(own, "memo"):
-            own.memo = FragmentMemo(own.word_scores, 300_000, 40)
+            own.memo = FragmentMemo(own.word_scores, 120_000, 40)
         found = [own.predict(t, own.memo) for t in columns[0]]
         return [[f[0] for f in found], [f[1] for f in found]]
 

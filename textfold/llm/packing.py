@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import map_arrow
 
 LENGTH = 2048
 RUN_TOKENS = 4 << 20
@@ -145,7 +146,7 @@ def pack_documents(
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return df.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(pieces, schema)
+    return map_arrow(df.select(F.col(id_col), F.col(text_col).cast("binary")), pieces, schema)
 
 
 def unpack(packed: DataFrame, vocabulary: str) -> DataFrame:

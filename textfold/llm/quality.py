@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_batches, reduce_blocks
+from .common import fold_batches, map_arrow, reduce_blocks
 from .forced import FragmentMemo
 
 BUCKETS, SHAPES, WIDTH, SIGNS = 1 << 14, 1 << 10, 32, 4
@@ -122,7 +122,7 @@ def learn_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
         parts = total.view(np.uint8).reshape(-1, 1 << 16)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "cells"])
 
-    blocks = df.select(text_col).mapInArrow(run, "block int, cells binary")
+    blocks = map_arrow(df.select(text_col), run, "block int, cells binary")
     sums = reduce_blocks(blocks, np.add, "i8", BUCKETS * WIDTH * 8).reshape(BUCKETS, WIDTH).astype(np.float64)
     length = np.linalg.norm(sums, axis=1, keepdims=True)
     return (sums / np.maximum(length, 1e-9)).astype(np.float32)
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, label_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     pooled = fold_batches(rows.select("label_id", "text", "label"), run, f"label_id {kind}, label int, pooled binary")
     found = sorted(((r["label_id"], r["label"], bytes(r["pooled"])) for r in pooled.collect()), key=lambda r: (r[0], r[2]))  # about max_rows
-    x = np.array([np.frombuffer(p, np.float32) for _, _, p in found], np.float64).reshape(len(found), -1)
+    x = np.array([np.frombuffer(p, np.float32) for _, _, p in found], np.float64).reshape(len(found), 4 * WIDTH)
     return train(x, np.array([label for _, label, _ in found], np.float64))
 
 
