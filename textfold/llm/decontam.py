@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_batches, settle
+from .common import append_batches, map_arrow, settle
 
 WINDOW = 10
 #: Most bytes of item texts that are held in memory and broadcast at once.
@@ -139,7 +139,7 @@ def _count_shingles(docs: DataFrame, text_col: str, block: ItemBlock) -> dict[in
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(known[some]), pa.array(total[some])], names=["shingle", "n"])
 
-    counted = docs.select(F.col(text_col).cast("binary")).mapInArrow(count, "shingle long, n long")
+    counted = map_arrow(docs.select(F.col(text_col).cast("binary")), count, "shingle long, n long")
     return {r["shingle"]: r["n"] for r in counted.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -152,25 +152,26 @@ def annotate(
     item_text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``docs`` with ``__runs`` (first word and end of each run of hit words) and ``__items`` (ids of the items found) added."""
+    """``docs`` with ``__words`` (their number), ``__runs`` (first word and end of each run of hit words) and ``__items`` (ids of the items found) added."""
     state = docs
     for block, last in _blocks(items, item_col, item_text_col, block_bytes, size):
         block.choose(_count_shingles(docs, text_col, block) if block.windows else {})
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def look(columns: list[list], sent=sent) -> list[list]:
-            runs, items = [], []
+            words, runs, items = [], [], []
             for text, old_runs, old_items in zip(*columns) if len(columns) == 3 else ((t, [], []) for t in columns[0]):
                 hit, found = sent.value.hits(words_of(text.encode("utf-8") if text is not None else None))
+                words.append(len(hit))
                 for a, b in zip(old_runs[::2], old_runs[1::2]):
                     hit[a:b] = True
                 runs.append(np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist())
                 items.append(sorted(found | set(old_items)))
-            return [runs, items]
+            return [words, runs, items]
 
         before = [text_col] if state is docs else [text_col, "__runs", "__items"]
-        state = append_batches(state, before, look, "__new_runs array<int>, __new_items array<string>")
-        state = state.select(*docs.columns, F.col("__new_runs").alias("__runs"), F.col("__new_items").alias("__items"))
+        state = append_batches(state, before, look, "__new_words long, __new_runs array<int>, __new_items array<string>")
+        state = state.select(*docs.columns, *[F.col(f"__new_{c}").alias(f"__{c}") for c in ("words", "runs", "items")])
         if not last:
             state = settle(state, "decontam")
     return state
@@ -180,14 +181,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
     """``id_col, n_words, n_hit, n_items, items_sha256, contaminated`` and ``hit_runs`` of every document; options as of :func:`annotate`."""
     found = annotate(docs.select(id_col, text_col), items, size, text_col, **options)
 
-    def count(columns: list[list]) -> list[list]:
-        return [[len(words_of(t.encode("utf-8") if t is not None else None)) for t in columns[0]]]
-
-    counted = append_batches(found, [text_col], count, "n_words long")
     ends = F.transform(F.col("__runs"), lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
-    return counted.select(
+    return found.select(
         id_col,
-        "n_words",
+        F.col("__words").alias("n_words"),
         F.aggregate(ends, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_hit"),
         F.size("__items").cast("long").alias("n_items"),
         F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"),
