@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import math
 from collections import OrderedDict
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import BLOCK_BYTES, map_arrow, reduce_blocks, settle
 
 WORDS = 5
 SIMILARITY = 80  # of 100
 CELLS_LOG2 = 20
 BITS_LOG2 = 26
-BLOCK = 1 << 16  # bytes of a block of a sketch or bitmap
 LIST_BLOCK = 512
+LONG_LIST = 32
 #: Prefixes of heavy sets are longer by one member in so many, so that linked sets share at least ``n // MARGIN`` members in lists.
 MARGIN = 20
 NO_ID = -(1 << 63)
@@ -130,28 +129,6 @@ def keys_of(members: np.ndarray, cells: np.ndarray, light: int, rule: Rule) -> l
     return out
 
 
-def _reduce_blocks(blocks: DataFrame, fold: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: str, total: int) -> np.ndarray:
-    """Fold arrays that tasks sent in blocks of equal size: first many per block, then one. ``total`` bytes in all."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                new = np.frombuffer(cells, dtype)
-                held[block] = fold(held[block], new) if block in held else new.copy()
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["block", "cells"])
-
-    rows = blocks.select("block", "cells")
-    once = rows.repartition("block", F.spark_partition_id() % 16).mapInArrow(run, "block int, cells binary")
-    twice = once.repartition("block").mapInArrow(run, "block int, cells binary")
-    out = np.zeros(total // np.dtype(dtype).itemsize, dtype)
-    per = BLOCK // np.dtype(dtype).itemsize
-    for row in twice.collect():  # ``total`` bytes, whatever the input
-        out[row["block"] * per : row["block"] * per + per] = np.frombuffer(row["cells"], dtype)
-    return out
-
-
 def _describe(docs: DataFrame, words: int, cells_log2: int) -> DataFrame:
     """A row for each document (id, size, digest of the set) and the blocks of the tasks' sketches."""
 
@@ -169,12 +146,12 @@ def _describe(docs: DataFrame, words: int, cells_log2: int) -> DataFrame:
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if cells.any():
-            parts = cells.view(np.uint8).reshape(-1, BLOCK)
+            parts = cells.view(np.uint8).reshape(-1, BLOCK_BYTES)
             n = len(parts)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
     names = ["id", "n", "digest", "block", "cells"]
-    return docs.mapInArrow(run, "id long, n int, digest binary, block int, cells binary")
+    return map_arrow(docs, run, "id long, n int, digest binary, block int, cells binary")
 
 
 def _emit(docs: DataFrame, words: int, cells: np.ndarray, light: int, rule: Rule) -> DataFrame:
@@ -205,7 +182,7 @@ def _emit(docs: DataFrame, words: int, cells: np.ndarray, light: int, rule: Rule
                 if digest in seen:
                     continue
                 seen[digest] = None
-                if len(seen) > 500_000:
+                if len(seen) > 50_000:
                     seen.popitem(last=False)
                 for keys, side in keys_of(s, sent.value, light, rule):
                     held.append((keys, side, doc, len(s)))
@@ -216,7 +193,7 @@ def _emit(docs: DataFrame, words: int, cells: np.ndarray, light: int, rule: Rule
         if held:
             yield flush(held)
 
-    return docs.mapInArrow(run, "key long, side int, id long, n int")
+    return map_arrow(docs, run, "key long, side int, id long, n int")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -244,7 +221,7 @@ def _shared(rows: DataFrame) -> DataFrame:
             yield from last[0].to_batches()
 
     ordered = rows.repartition("key").sortWithinPartitions("key")
-    return ordered.mapInArrow(run, "key long, side int, id long, n int")
+    return map_arrow(ordered, run, "key long, side int, id long, n int")
 
 
 def _pruned(rows: DataFrame, times: int = 2) -> DataFrame:
@@ -269,11 +246,11 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             at = place(batch.column(0).to_numpy())
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        parts = bits.reshape(-1, BLOCK)
+        parts = bits.reshape(-1, BLOCK_BYTES)
         some = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[k].tobytes() for k in some], pa.binary())], names=["block", "cells"])
 
-    bits = _reduce_blocks(ids.mapInArrow(mark, "block int, cells binary"), np.bitwise_or, "u1", 1 << (BITS_LOG2 - 3))
+    bits = reduce_blocks(map_arrow(ids, mark, "block int, cells binary"), np.bitwise_or, "u1", 1 << (BITS_LOG2 - 3))
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -286,7 +263,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 sets = [shingles(t, words).view(np.int64) for t in some.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
 
-    return docs.mapInArrow(run, "id long, members array<long>")
+    return map_arrow(docs, run, "id long, members array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -299,7 +276,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _neighbours(rows: DataFrame, order: list, gap: int, rule: Rule) -> DataFrame:
-    """Pairs of different components at most ``gap`` rows apart in some list."""
+    """Pairs of different components at most ``gap`` rows apart in some list.
+
+    Sets that meet in long lists meet in many of them: behind its first rows a list gives pairs only if it is one in four (by its
+    key). What this leaves out is found by scanning.
+    """
 
     def run(batches):
         tail, found, size = None, [], 0
@@ -314,11 +295,14 @@ def _neighbours(rows: DataFrame, order: list, gap: int, rule: Rule) -> DataFrame
             new = [c.to_numpy() for c in batch.columns]
             old = 0 if tail is None else len(tail[0])
             key, ids, n, comp = new if tail is None else [np.concatenate(x) for x in zip(tail, new)]
+            places = np.arange(len(key))
+            place = places - np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), places, 0))
+            gives = (place < LONG_LIST) | (key & 3 == 0)
             for d in range(1, min(gap, len(key) - 1) + 1):
                 start = max(0, old - d)  # pairs within the tail were met before
-                k, i, m, c = (x[start:] for x in (key, ids, n, comp))
+                k, i, m, c, g = (x[start:] for x in (key, ids, n, comp, gives))
                 low, high = np.minimum(m[d:], m[:-d]).astype(np.int64), np.maximum(m[d:], m[:-d]).astype(np.int64)
-                at = np.flatnonzero((k[d:] == k[:-d]) & (c[d:] != c[:-d]) & (low * 100 >= rule.s * high))
+                at = np.flatnonzero(g[d:] & (k[d:] == k[:-d]) & (c[d:] != c[:-d]) & (low * 100 >= rule.s * high))
                 found.append(np.stack([np.minimum(i[at], i[at + d]), np.maximum(i[at], i[at + d])], 1))
                 size += len(at)
             tail = [c[-gap:] for c in (key, ids, n, comp)]
@@ -329,7 +313,7 @@ def _neighbours(rows: DataFrame, order: list, gap: int, rule: Rule) -> DataFrame
             yield distinct()
 
     ordered = rows.repartition("key").sortWithinPartitions("key", *order).select("key", "id", "n", "comp")
-    return ordered.mapInArrow(run, "x long, y long").distinct()
+    return map_arrow(ordered, run, "x long, y long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -358,7 +342,11 @@ def _scanned(rows: DataFrame, rule: Rule) -> DataFrame:
         .agg(F.collect_list(F.struct("id", "n", "weight", "comp")).alias("entries"))
         .select("key", "entries")
     )
-    met = probes.join(lists, "key").select("id", "side", "n", "weight", "comp", "entries")
+    beyond = lambda e: (e["weight"] > F.col("weight")) | ((e["weight"] == F.col("weight")) & (e["comp"] > F.col("comp")))
+    alike = lambda e: F.least(e["n"], F.col("n")).cast("long") * 100 >= F.greatest(e["n"], F.col("n")).cast("long") * rule.s
+    # only what may be a partner goes on
+    some = F.transform(F.filter("entries", lambda e: beyond(e) & alike(e)), lambda e: F.struct(e["id"].alias("id"), e["n"].alias("n")))
+    met = probes.join(lists, "key").select("id", "side", "n", some.alias("entries")).where(F.size("entries") > 0)
 
     def run(batches):
         now, held = None, []
@@ -380,18 +368,14 @@ def _scanned(rows: DataFrame, rule: Rule) -> DataFrame:
             out_y.append(partners)
 
         for batch in batches:
-            values = batch.column(5)
+            values = batch.column(3)
             offsets = values.offsets.to_numpy()
-            fields = [values.values.field(k).to_numpy() for k in range(4)]
-            for i, (doc, side, n, weight, comp) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]))):
+            partners, sizes = (values.values.field(k).to_numpy() for k in range(2))
+            for i, (doc, side, n) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]))):
                 if now is None or now[:2] != (doc, side):
                     finish()
                     now, held = (doc, side, n), []
-                part = [f[offsets[i] : offsets[i + 1]] for f in fields]
-                m = (part[2] > weight) | ((part[2] == weight) & (part[3] > comp))
-                m &= np.minimum(part[1], n).astype(np.int64) * 100 >= rule.s * np.maximum(part[1], n).astype(np.int64)
-                if m.any():
-                    held.append((part[0][m], part[1][m]))
+                held.append((partners[offsets[i] : offsets[i + 1]], sizes[offsets[i] : offsets[i + 1]]))
             if sum(map(len, out_x)) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_x)), pa.array(np.concatenate(out_y))], names=["x", "y"])
                 out_x, out_y = [], []
@@ -400,7 +384,7 @@ def _scanned(rows: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_x)), pa.array(np.concatenate(out_y))], names=["x", "y"])
 
     ordered = met.repartition("id", "side").sortWithinPartitions("id", "side")
-    return ordered.mapInArrow(run, "x long, y long").distinct()
+    return map_arrow(ordered, run, "x long, y long").distinct()
 
 
 def jaccard_components(
@@ -411,7 +395,7 @@ def jaccard_components(
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
     told = settle(_describe(docs, words, cells_log2), "ngram-told")
-    cells = _reduce_blocks(told.where("block IS NOT NULL"), np.add, "u4", 4 << cells_log2)
+    cells = reduce_blocks(told.where("block IS NOT NULL"), np.add, "u4", 4 << cells_log2)
     classes = told.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
     members = told.where("block IS NULL").select("id", "n", "digest").join(classes, "digest", "left")
     members = settle(members.select("id", "n", F.coalesce("rep", "id").alias("rep")), "ngram-members")
@@ -424,15 +408,12 @@ def jaccard_components(
     reps = members.select("id", "rep").distinct()
     rows = rows.join(reps, "id").select("key", "side", F.col("rep").alias("id"), "n").distinct()
     rows = _pruned(rows)
-    sets = settle(_sets(docs, rows.select("id").distinct(), words), "ngram-sets").dropDuplicates(["id"])
-
-    links = None
-    labelled = rows.withColumn("comp", F.col("id"))
-    for order, gap in ((["n", "id"], 2), ([F.xxhash64("id")], 3), ([F.xxhash64("id", F.lit(1))], 4)):
-        found = settle(_verified(_neighbours(labelled, order, gap, rule), sets, rule), "ngram-links")
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        labelled = rows.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    sets = settle(_sets(docs, rows.select("id").distinct(), words), "ngram-sets")
+
+    alone = rows.withColumn("comp", F.col("id"))
+    near = [_neighbours(alone, order, 1, rule) for order in (["n", "id"], [F.xxhash64("id")], [F.xxhash64("id", F.lit(1))])]
+    links = settle(_verified(near[0].union(near[1]).union(near[2]).distinct(), sets, rule), "ngram-links")
+    labelled = rows.join(components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     rest = settle(_verified(_scanned(labelled, rule), sets, rule), "ngram-links")
     labels = components(links.union(rest))
 
