@@ -411,8 +411,8 @@ def jaccard_components(
     sets = settle(_sets(docs, rows.select("id").distinct(), words), "ngram-sets")
 
     alone = rows.withColumn("comp", F.col("id"))
-    near = [_neighbours(alone, order, 1, rule) for order in (["n", "id"], [F.xxhash64("id")], [F.xxhash64("id", F.lit(1))])]
-    links = settle(_verified(near[0].union(near[1]).union(near[2]).distinct(), sets, rule), "ngram-links")
+    near = [_neighbours(alone, order, 1, rule) for order in (["n", "id"], [F.xxhash64("id")])]
+    links = settle(_verified(near[0].union(near[1]).distinct(), sets, rule), "ngram-links")
     labelled = rows.join(components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     rest = settle(_verified(_scanned(labelled, rule), sets, rule), "ngram-links")
     labels = components(links.union(rest))
