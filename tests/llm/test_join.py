@@ -134,3 +134,37 @@ def test_components_of_links(spark):
     pairs = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (90, 95)]
     got = {r["id"]: r["comp"] for r in components(spark.createDataFrame(pairs, "x long, y long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 90: 90, 95: 90, 100: 90}
+
+
+def brute_links(rows, similarity=80):
+    """Linked pairs over exact sets of word tuples, copies too."""
+    sets = {i: plain_set(t) for i, t in rows}
+    ids = sorted(i for i, s in sets.items() if s)
+    return {
+        (i, j)
+        for k, i in enumerate(ids)
+        for j in ids[k + 1 :]
+        if 100 * (n := len(sets[i] & sets[j])) >= similarity * (len(sets[i]) + len(sets[j]) - n)
+    }
+
+
+@pytest.mark.parametrize("group", [ngramjoin.GROUP, 4])
+def test_every_link_is_counted_and_given(docs, monkeypatch, group):
+    monkeypatch.setattr(ngramjoin, "GROUP", group)
+    r = random.Random(11)
+    base = [f"b{k}" for k in range(60)]
+    rows = near_copies(3, 250)
+    for k in range(40):  # one component, in which not all are linked
+        x = list(base)
+        for _ in range(1 + k % 2):
+            x[r.randrange(60)] = f"n{k}x{r.random()}"
+        rows.append((5000 + k, " ".join(x)))
+    rows += [(6000 + k, rows[-1 - k % 3][1]) for k in range(9)]
+    want = brute_links(rows)
+    found = ngramjoin.jaccard_components(docs(rows)).collect()
+    times = Counter(i for pair in want for i in pair)
+    assert {x["doc_id"]: x["n_links"] for x in found} == {i: times[i] for i, _ in rows}
+    classes = {x["doc_id"]: x["class_id"] for x in found}
+    pairs = [(x["x"], x["y"]) for x in ngramjoin.jaccard_links(docs(rows)).collect()]
+    assert len(pairs) == len(set(pairs))
+    assert set(pairs) == {tuple(sorted((classes[i], classes[j]))) for i, j in want if classes[i] != classes[j]}

@@ -21,10 +21,17 @@ found first among neighbours in the lists, which is linear in their length; conn
 then leave only pairs across components, which are scanned exhaustively, list by list, so no link
 that could join two components is lost. Components come from minimum labels with shortcuts.
 
+Linked sets are in one component, so all links are then found inside components: the classes of a
+component are dealt into blocks, and each pair of blocks is one group of rows, in which every pair of
+sets is compared by its whole sets. The work is the square of a component's classes; what is shipped is
+its sets times its blocks. ``jaccard_components`` counts the links of each document, ``jaccard_links``
+gives the pairs. The one pair of a component of two classes is a link that was verified before.
+
 Defined results: a null text, or one without words, has an empty set, is linked with nothing and is
 its own component; fewer than five words are one shingle; very long texts are one set each; rows with
 the same id count as one document; a null id sorts before all others; an empty table gives an empty
-table; other columns are ignored. Ids are integers.
+table; other columns are ignored. Ids are integers. Copies are linked; where an id (null is one) has
+several texts, its classes that have it as smallest id are one, and so their links are counted together.
 """
 
 from __future__ import annotations
@@ -49,6 +56,8 @@ LONG_LIST = 32
 #: Prefixes of heavy sets are longer by one member in so many, so that linked sets share at least ``n // MARGIN`` members in lists.
 MARGIN = 20
 NO_ID = -(1 << 63)
+#: Classes and members in a block of a component, about.
+GROUP, GROUP_MEMBERS = 1024, 1 << 20
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -387,10 +396,81 @@ def _scanned(rows: DataFrame, rule: Rule) -> DataFrame:
     return map_arrow(ordered, run, "x long, y long").distinct()
 
 
-def jaccard_components(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, cells_log2: int = CELLS_LOG2
-) -> DataFrame:
-    """``id_col, n_shingles, component_id`` of every document, and ``class_id``: the smallest id with an equal set."""
+def _linked(members: np.ndarray, sizes: np.ndarray, rule: Rule) -> np.ndarray:
+    """Which of the sets (members one after the other) are linked, as a matrix."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, place, times = np.unique(members, return_inverse=True, return_counts=True)
+    held = times[place] > 1
+    owner, place = owner[held], (np.cumsum(times > 1) - 1)[place[held]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    both = np.zeros((len(sizes), len(sizes)), np.float32)  # counts below 1 << 24 are exact
+    width = max(64, (1 << 22) // len(sizes))
+    for start in range(0, int((times > 1).sum()), width):
+        low, high = np.searchsorted(place, (start, start + width))
+        part = np.zeros((len(sizes), width), np.float32)
+        part[owner[low:high], place[low:high] - start] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    n = sizes.astype(np.int64)
+    return 100 * both >= rule.s * (n[:, None] + n[None, :] - both)
+
+
+def _within(labels: DataFrame, reps: DataFrame, sets: DataFrame, rule: Rule, pairs: bool) -> DataFrame:
+    """All links inside components of three classes and more: pairs ``x, y``, or ``id, c``, the documents in classes linked with one (to be summed)."""
+    sized = labels.join(reps, "id")
+    ways = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_MEMBERS)).cast("int").alias("ways")
+    sized = sized.join(sized.groupBy("comp").agg(ways, F.count("*").alias("classes")).where("classes > 2"), "comp")
+    part = F.pmod(F.xxhash64("id"), F.col("ways")).cast("int").alias("part")
+    dealt = sized.select("id", "comp", "docs", part, F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("other"))
+    dealt = dealt.select("id", "comp", "docs", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+    names = ["x", "y"] if pairs else ["id", "c"]
+
+    def finish(key, held):
+        ids, docs, parts = (np.concatenate([h[k] for h in held]) for k in range(3))
+        sizes = np.concatenate([h[3] for h in held])
+        linked = _linked(np.concatenate([h[4] for h in held]), sizes, rule)
+        if key[1] != key[2]:  # pairs within a block have their own group
+            linked &= parts[:, None] != parts[None, :]
+        own, first, at = np.unique(ids, return_index=True, return_inverse=True)
+        x, y = np.nonzero(linked)
+        found = np.zeros((len(own), len(own)), bool)
+        found[at[x], at[y]] = True
+        np.fill_diagonal(found, False)
+        if pairs:
+            x, y = np.nonzero(np.triu(found))
+            for start in range(0, len(x), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(own[x[start : start + 100_000]]), pa.array(own[y[start : start + 100_000]])], names=names)
+        else:
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(found @ docs[first])], names=names)
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            comp, a, b, ids, docs, parts = (batch.column(k).to_numpy() for k in range(6))
+            values = batch.column(6)
+            offsets = values.offsets.to_numpy()
+            flat = values.values.to_numpy()
+            cuts = np.flatnonzero((comp[1:] != comp[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(comp)]):
+                key = (comp[low], a[low], b[low])
+                if now != key:
+                    if held:
+                        yield from finish(now, held)
+                    now, held = key, []
+                some = slice(low, high)
+                held.append((ids[some], docs[some], parts[some], np.diff(offsets[low : high + 1]), flat[offsets[low] : offsets[high]]))
+        if held:
+            yield from finish(now, held)
+
+    whole = dealt.join(sets, "id").select("comp", "a", "b", "id", "docs", "part", "members")
+    return map_arrow(whole.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b"), run, ", ".join(f"{c} long" for c in names))
+
+
+def _join(df: DataFrame, id_col: str, text_col: str, words: int, similarity: int, cells_log2: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, Rule]:
+    """Documents with their classes (``id, n, rep``), classes (``id, docs, n``), components of linked classes (``id, comp``), their sets, and the rule."""
     rule = Rule(similarity)
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
@@ -416,8 +496,23 @@ def jaccard_components(
     labelled = rows.join(components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     rest = settle(_verified(_scanned(labelled, rule), sets, rule), "ngram-links")
     labels = components(links.union(rest))
+    classes = members.groupBy(F.col("rep").alias("id")).agg(F.count_distinct("id").alias("docs"), F.max("n").alias("n"))
+    return members, classes, labels, sets, rule
 
-    shown = members.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left")
+
+def jaccard_components(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, cells_log2: int = CELLS_LOG2
+) -> DataFrame:
+    """``id_col, n_shingles, component_id`` of every document, ``class_id``: the smallest id with an equal set, and ``n_links``: the other documents it is linked with."""
+    members, classes, labels, sets, rule = _join(df, id_col, text_col, words, similarity, cells_log2)
+    # of two classes, each is linked with the other
+    joined = labels.join(classes, "id")
+    two = joined.groupBy("comp").agg(F.sum("docs").alias("all"), F.count("*").alias("classes")).where("classes = 2")
+    counts = joined.join(two, "comp").select("id", (F.col("all") - F.col("docs")).alias("c")).union(_within(labels, classes, sets, rule, pairs=False))
+    counts = counts.groupBy("id").agg(F.sum("c").alias("c"))
+    told = classes.join(labels, "id", "left").join(counts, "id", "left")
+    told = told.select(F.col("id").alias("rep"), "comp", (F.col("docs") - 1 + F.coalesce("c", F.lit(0))).alias("links"))
+    shown = members.join(told, "rep", "left")
 
     def as_id(c):
         return F.when(c != NO_ID, c)
@@ -427,4 +522,15 @@ def jaccard_components(
         F.col("n").cast("long").alias("n_shingles"),
         as_id(F.coalesce("comp", "rep")).alias("component_id"),
         as_id(F.col("rep")).alias("class_id"),
+        F.col("links").alias("n_links"),
     )
+
+
+def jaccard_links(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, cells_log2: int = CELLS_LOG2
+) -> DataFrame:
+    """``x, y`` of every two linked classes (by ``class_id``, x before y), each once. The members of a class are in the table of components."""
+    _, classes, labels, sets, rule = _join(df, id_col, text_col, words, similarity, cells_log2)
+    two = labels.groupBy("comp").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("classes")).where("classes = 2")
+    found = two.select("x", "y").union(_within(labels, classes, sets, rule, pairs=True))
+    return found.select(F.when(F.col("x") != NO_ID, F.col("x")).alias("x"), "y")
