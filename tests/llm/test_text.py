@@ -164,6 +164,12 @@ def test_line_dedup_keeps_columns(spark, docs):
     assert linededup.dedup_lines(docs([])).count() == 0
 
 
+def test_one_of_several_texts_with_one_id_keeps_its_lines(docs):
+    for i in (None, 4):
+        out = [x["text"] for x in linededup.dedup_lines(docs([(i, "a\nb\nc\nd"), (i, "a\nb\nc\ne"), (i, "a\nb\nc\nf")])).collect()]
+        assert sum(t.startswith("a\nb\nc\n") for t in out) == 1 and sorted(t[-1] for t in out) == ["d", "e", "f"]
+
+
 # ---- 5
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

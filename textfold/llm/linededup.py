@@ -1,7 +1,8 @@
 """Operator 4: removal of repeated passages by overlapping windows of lines.
 
 Every three consecutive lines form a window, known by the MD5 of its text. A window that occurs
-more than once in the corpus has a first occurrence, by document id and then by line; every later
+more than once in the corpus has a first occurrence, by document id and then by line (then by a hash
+of the text, where several texts have one id or none); every later
 occurrence covers its three lines. The covered lines of a document are merged and removed, the
 others are joined again. A line is removed only where an aligned copy of it stands earlier, so
 each text stays at least once.
@@ -40,11 +41,11 @@ def later_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     windows = _windows(df, id_col, text_col, size)
     repeated = (
         windows.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
+        .agg(F.count("*").alias("n"), F.min(F.struct("id", "pos", "version")).alias("first"))
         .where(F.col("n") > 1)
         .select("key", "first")
     )
-    return windows.join(repeated, "key").where(F.struct("id", "pos") > F.col("first")).select("id", "version", "pos")
+    return windows.join(repeated, "key").where(F.struct("id", "pos", "version") > F.col("first")).select("id", "version", "pos")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
