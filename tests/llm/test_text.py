@@ -238,6 +238,14 @@ def test_languages(spark, docs):
     assert langid.identify(docs([]), model).count() == 0
 
 
+def test_words_behind_the_first_15000_are_known(docs):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = [a + b + c + d for a in letters for b in letters for c in letters for d in "zy"][:16_000]
+    model = langid.learn(docs([" ".join(many * 2)]))
+    assert len(model.words) == 16_000 and all(model.words.get(w) is not None for w in many)
+    assert model.words.get("abcdefg") is None
+
+
 def test_backoff_and_nothing_learned(docs, spark):
     model = langid.LanguageModel(["x", "y"], {"known": (-1.0, -5.0)}, {"zq": (-4.0, -1.0), "z": (-3.0, -2.0)})
     assert model.word_scores("known") == (-1.0, -5.0)

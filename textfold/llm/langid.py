@@ -18,11 +18,15 @@ ignored.
 from __future__ import annotations
 
 import math
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,13 +48,31 @@ def grams_of(word: str, order: int) -> list[str]:
     return [padded[i : i + order] for i in range(len(padded) - order + 1)]
 
 
+class Scores:
+    """Rows of numbers by string, held as sorted hashes (64 bit) and one array."""
+
+    def __init__(self, rows: dict[str, tuple[float, ...]]):
+        hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in rows], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = array("Q", hashes[order].tobytes())
+        self.rows = np.array(list(rows.values()), np.float64)[order] if rows else np.zeros((0, 0))
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def get(self, key: str) -> tuple[float, ...] | None:
+        wanted = xxhash.xxh3_64_intdigest(key)
+        k = bisect_left(self.hashes, wanted)
+        return tuple(self.rows[k].tolist()) if k < len(self.hashes) and self.hashes[k] == wanted else None
+
+
 @dataclass
 class LanguageModel:
     """Log frequencies by language, aligned with ``langs``."""
 
     langs: list[str]
-    words: dict[str, tuple[float, ...]] = field(default_factory=dict)
-    grams: dict[str, tuple[float, ...]] = field(default_factory=dict)
+    words: Scores | dict[str, tuple[float, ...]] = field(default_factory=dict)
+    grams: Scores | dict[str, tuple[float, ...]] = field(default_factory=dict)
 
     def word_scores(self, word: str) -> tuple[float, ...]:
         known = self.words.get(word)
@@ -80,8 +102,8 @@ def learn(
     lang_col: str = "lang",
     order_by: Column | None = None,
     max_docs: int = 3000,
-    max_words: int = 15_000,
-    max_grams: int = 25_000,
+    max_words: int = 30_000,
+    max_grams: int = 60_000,
 ) -> LanguageModel:
     """Learn from all rows of ``df`` that have a text and a language, within the bounds."""
     rows = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(order_by if order_by is not None else F.xxhash64(text_col), F.lit(1 << 20)).alias("deal"))
@@ -121,7 +143,7 @@ def learn(
     words = map_arrow(sample, count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = map_arrow(words, spread, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
-    def top(counts: DataFrame, most: int) -> dict[str, tuple[float, ...]]:
+    def top(counts: DataFrame, most: int) -> Scores:
         order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
         kept = counts.where(F.col("n") > 1).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
         totals: Counter = Counter()
@@ -131,7 +153,7 @@ def learn(
             totals[r["lang"]] += r["n"]
         none = {lang: math.log(0.5 / (totals[lang] + 1)) for lang in langs}
         some = {lang: math.log(totals[lang] + 1) for lang in langs}
-        return {g: tuple(math.log(by[lang]) - some[lang] if lang in by else none[lang] for lang in langs) for g, by in by_gram.items()}
+        return Scores({g: tuple(math.log(by[lang]) - some[lang] if lang in by else none[lang] for lang in langs) for g, by in by_gram.items()})
 
     return LanguageModel(langs, top(words, max_words), top(grams, max_grams))
 
