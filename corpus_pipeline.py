@@ -32,11 +32,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, keep the one with the smallest id."""
-    found = ngramjoin.jaccard_components(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of linked documents, keep the one with the smallest id (null first).
+
+    Rows are known by a hash (64 bit) of id and text, so rows with null or repeated ids only go where their texts are linked or equal.
+    """
+    key = F.xxhash64("doc_id", "text")
+    found = ngramjoin.jaccard_components(docs.select(key.alias("__key"), "text"), "__key")
+    groups = found.select("__key", "component_id").distinct().join(docs.select(key.alias("__key"), "doc_id").distinct(), "__key")
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("first")).select(F.col("first.__key").alias("__first"))
+    kept = docs.withColumn("__key", key).join(first, F.col("__key") == F.col("__first"), "left_semi")
+    return kept.dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

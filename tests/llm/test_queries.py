@@ -83,5 +83,14 @@ def test_pipeline_against_brute_force(spark, docs):
     assert {i: r["decoded_sha256"] for i, r in five.items()} == {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in four.collect()}
 
 
+def test_near_copies_with_null_and_repeated_ids(spark, docs):
+    texts = [" ".join(f"{name}{k}" for k in range(30)) for name in "abcdef"]
+    near = " ".join([*texts[3].split()[:-1], "other"])
+    rows = [(None, t) for t in texts[:4]] + [(5, texts[0]), (9, texts[1]), (7, texts[4]), (7, texts[5]), (7, texts[5]), (3, near), (2, None), (None, None)]
+    kept = corpus_pipeline.near_copies(spark, docs(rows), DATA)
+    want = [(None, t) for t in texts[:4]] + [(7, texts[4]), (7, texts[5]), (2, None), (None, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 100
