@@ -4,11 +4,15 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_odd import ODD
 
 from textfold.llm import ngramjoin
-from textfold.llm.ngramjoin import Rule, boundary, components, keys_of, shingles
+from textfold.llm import wordsets
+from textfold.llm.common import Scratch
+from textfold.llm.graph import components
+from textfold.llm.ngramjoin import Rule, boundary, keys_of, shingles
 
 
 def plain_set(text, words=5):
@@ -104,7 +108,7 @@ def test_sets_follow_their_definition():
 def test_linked_sets_share_enough_keys(similarity):
     rule = Rule(similarity)
     rng = np.random.default_rng(10)
-    cells = rng.integers(0, 4, 1 << 8).astype(np.uint32)
+    ranks = rng.integers(0, 4, 1 << 8).astype(np.uint8)
     for light in (0, 12, 30):
         for _ in range(1500):
             a = int(rng.integers(2, 60))
@@ -116,7 +120,7 @@ def test_linked_sets_share_enough_keys(similarity):
             if 100 * both < similarity * (len(x) + len(y) - both) or len(x) == len(y) == both:
                 continue
             assert both >= rule.overlap(len(x), len(y))
-            kx, ky = ({side: set(k.tolist()) for k, side in keys_of(s, cells, light, rule)} for s in (x, y))
+            kx, ky = ({side: set(k.tolist()) for k, _, side in keys_of(s, ranks, light, rule)} for s in (x, y))
             found = {side: len(kx[side] & ky[side]) for side in kx.keys() & ky.keys()}
             assert found.get(0, 0) >= 1 or found.get(1, 0) >= rule.lacking(len(x), len(y)), (len(x), len(y), both, light, found)
             if len(x) > light:
@@ -131,9 +135,54 @@ def test_boundary_follows_the_cost():
 
 
 def test_components_of_links(spark):
-    pairs = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (90, 95)]
-    got = {r["id"]: r["comp"] for r in components(spark.createDataFrame(pairs, "x long, y long")).collect()}
-    assert got == {**{k: 0 for k in range(41)}, 90: 90, 95: 90, 100: 90}
+    pairs = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (90, 95), (100, 90)]
+    pairs += [(1000 + k, 1500) for k in range(300) if k != 500]  # a hub
+    r = random.Random(12)
+    path = r.sample(range(2000, 3000), 200)
+    pairs += list(zip(path, path[1:]))
+    scratch = Scratch(spark, "test-components")
+    found = components(spark.createDataFrame(pairs, "x long, y long").repartition(3), scratch).collect()
+    got = {r["id"]: r["comp"] for r in found}
+    assert len(got) == len(found)
+    hub = {1000 + k: 1000 for k in range(300)} | {1500: 1000}
+    assert got == {**{k: 0 for k in range(41)}, 90: 90, 95: 90, 100: 90, **hub, **{k: min(path) for k in path}}
+    assert components(spark.createDataFrame([], "x long, y long"), scratch).count() == 0
+
+
+@pytest.mark.parametrize("segment", [1 << 20, 64])
+def test_sets_in_bulk(monkeypatch, segment):
+    monkeypatch.setattr(wordsets, "SEGMENT", segment)
+    monkeypatch.setattr(wordsets._Tables, "up", None)
+    r = random.Random(13)
+    texts = ["".join(r.choice(["a", "B", "É", " ", "\t", " ", "\x1c", "\n", "bc"]) for _ in range(r.randint(0, 90))) for _ in range(800)]
+    texts += [None, "", ("x" * 3000 + " ") * 7, "y" * 700 + " Z", *ODD]
+    array = pa.array([None if t is None else t.encode() for t in texts], pa.binary())
+    sets = list(wordsets.shingle_sets(array, 5))
+    by_plain = {}
+    for text, s in zip(texts, sets):
+        assert len(s) == len(plain_set(text))
+        by_plain.setdefault(frozenset(plain_set(text)), set()).add(s.tobytes())
+    assert all(len(v) == 1 for v in by_plain.values()) and len({x for v in by_plain.values() for x in v}) == len(by_plain)
+    assert all(np.array_equal(a, b) for a, b in zip(wordsets.shingle_sets(array.slice(100, 50), 5), sets[100:150]))
+    monkeypatch.setattr(wordsets._Tables, "up", None)
+
+
+@pytest.mark.parametrize("part", [ngramjoin.PART, 8])
+def test_parts_and_scanned_lists(docs, monkeypatch, part):
+    """Long lists in parts, with neighbours that find nothing, so that all comes from scanning."""
+    monkeypatch.setattr(ngramjoin, "PART", part)
+    if part == 8:
+        found = ngramjoin._neighbours
+        monkeypatch.setattr(ngramjoin, "_neighbours", lambda rows, rule: found(rows, rule).where("x % 3 = 0"))
+    r = random.Random(14)
+    base = [f"b{k}" for k in range(80)]
+    rows = near_copies(5, 200)
+    for k in range(150):
+        x = list(base)
+        x[r.randrange(80)] = f"n{k}"
+        rows.append((5000 + k, " ".join(x)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngramjoin.jaccard_components(docs(rows), links=False).collect()}
+    assert got == brute(rows)
 
 
 def brute_links(rows, similarity=80):

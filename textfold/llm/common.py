@@ -30,21 +30,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def workspace(spark: SparkSession) -> str:
     """The folder that driver and executors share for intermediate tables.
 
-    ``spark.checkpoint.dir`` names it on a cluster; where that is unset (a local
-    session) a folder of this machine is used.
+    ``spark.checkpoint.dir`` names it. Where that is unset, a folder of this machine is used by a
+    session of this machine only; elsewhere it is an error, as executors could not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (the master is {master})")
         root = os.path.join(tempfile.gettempdir(), f"textfold-work-{spark.sparkContext.applicationId}")
     return root
 
 
+class Scratch:
+    """Intermediate tables of one operator in the shared folder. A table can go when what reads it is written."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.root, self.paths = spark, f"{workspace(spark)}/{tag}-{uuid.uuid4().hex}", {}
+
+    def settle(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it back: lineage ends here, and lost executors lose nothing. An earlier table of this name goes."""
+        old, path = self.paths.get(name), f"{self.root}/{name}-{len(self.paths)}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        self.paths[name] = path
+        if old is not None:
+            self._delete(old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                self._delete(self.paths.pop(name))
+
+    def _delete(self, path: str) -> None:
+        """By Hadoop's file system, as the folder may be one that only Spark reaches."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{workspace(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, tag).settle(df, "table")
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

@@ -13,29 +13,32 @@ sets have at least k in common.
 * The boundary is the size with the least cost: subsets to enumerate against list entries to scan,
   from the histogram of sizes and the skew of a count sketch.
 
-The global order puts rare members first, by a count sketch of fixed size over all documents; the
-order decides only how much work there is, never the result.
+The global order puts rare members first, by a count sketch over all documents whose size grows with
+their words (to 16 MB of ranks at most); the order decides only how much work there is, never the result.
 
-Sets are equal within a class of copies, so classes are joined, by their smallest id. Most links are
-found first among neighbours in the lists, which is linear in their length; connected components
-then leave only pairs across components, which are scanned exhaustively, list by list, so no link
-that could join two components is lost. Components come from minimum labels with shortcuts.
+Equal sets are one node, known by a hash (64 bit) of the set; a task sends a node once, copies from
+different tasks meet under their keys and become one row. Lists of more than ``PART`` entries, by the
+sketch, are dealt into parts (by node and key, so that the parts of two keys differ). Most links
+are found first among neighbours in the lists, which is linear in their length; connected components
+then leave only pairs across components, which are scanned exhaustively, list by list and part by
+part, so no link that could join two components is lost.
 
-Linked sets are in one component, so all links are then found inside components: the classes of a
+Linked sets are in one component, so all links are then found inside components: the nodes of a
 component are dealt into blocks, and each pair of blocks is one group of rows, in which every pair of
-sets is compared by its whole sets. The work is the square of a component's classes; what is shipped is
-its sets times its blocks. ``jaccard_components`` counts the links of each document, ``jaccard_links``
-gives the pairs. The one pair of a component of two classes is a link that was verified before.
+sets is compared by its whole sets. The work is the square of a component's different sets; what is
+shipped is its sets times its blocks. ``jaccard_components`` counts the links of each document (unless
+``links=False``), ``jaccard_links`` gives the pairs. The one pair of a component of two nodes is a link
+that was verified before.
 
 Defined results: a null text, or one without words, has an empty set, is linked with nothing and is
-its own component; fewer than five words are one shingle; very long texts are one set each; rows with
-the same id count as one document; a null id sorts before all others; an empty table gives an empty
-table; other columns are ignored. Ids are integers. Copies are linked; where an id (null is one) has
-several texts, its classes that have it as smallest id are one, and so their links are counted together.
+its own component; fewer than five words are one shingle; very long texts are one set each; every row
+is a document, so repeated rows are copies of each other; a null id sorts before all others; an empty
+table gives an empty table; other columns are ignored. Ids are integers.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections import OrderedDict
 
@@ -45,41 +48,42 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, map_arrow, reduce_blocks, settle
+from .common import BLOCK_BYTES, Scratch, map_arrow, reduce_blocks
+from .graph import components
+from .wordsets import mixed, shingle_sets
+
+log = logging.getLogger(__name__)
 
 WORDS = 5
 SIMILARITY = 80  # of 100
-CELLS_LOG2 = 20
-BITS_LOG2 = 26
-LIST_BLOCK = 512
-LONG_LIST = 32
+#: Cells of the count sketch: one for so many bytes of text, within these powers of two.
+CELL_BYTES, LEAST_CELLS, MOST_CELLS = 256, 16, 24
+#: Bits of the filter of wanted documents: so many for each row, within these powers of two.
+ROW_BITS, LEAST_BITS, MOST_BITS = 4, 19, 28
+#: Entries of a list, by the sketch, from which it is dealt into parts.
+PART = 1 << 20
+#: In neighbours, each entry also meets the head of its run of so many.
+RUN = 64
 #: Prefixes of heavy sets are longer by one member in so many, so that linked sets share at least ``n // MARGIN`` members in lists.
 MARGIN = 20
 NO_ID = -(1 << 63)
-#: Classes and members in a block of a component, about.
+#: Nodes and members in a block of a component, about.
 GROUP, GROUP_MEMBERS = 1024, 1 << 20
+#: Nodes that a task remembers as sent.
+SEEN = 50_000
 
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ (x >> np.uint64(33))
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_ONE = np.uint64(1)
 
 
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     """The set of a UTF-8 text: sorted distinct 64-bit hashes. A-Z count as a-z; words end at ASCII white space."""
-    found = text.lower().split() if text else []
-    if not found:
-        return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-    k = min(words, len(codes))
-    out = np.full(len(codes) - k + 1, k, np.uint64)
-    for j in range(k):
-        factor = _FACTORS[j % 5] + np.uint64(2 * (j // 5))
-        out = out + codes[j : j + len(out)] * factor
-    return np.unique(_mixed(out))
+    return next(shingle_sets(pa.array([text], pa.binary()), words))
+
+
+def node_of(members: np.ndarray) -> int:
+    """The node of a set that is not empty."""
+    return xxhash.xxh3_64_intdigest(members) - (1 << 63)
 
 
 class Rule:
@@ -104,6 +108,10 @@ class Rule:
         """Members that linked sets share within their prefixes at least: behind the end of the prefix that ends first, they share no more than the rest of that set."""
         return np.maximum(1, self.overlap(a, b) - np.maximum(self.rest(a), self.rest(b)))
 
+    def alike(self, a, b):
+        """Whether sizes (as 64-bit integers) allow a link."""
+        return np.minimum(a, b) * 100 >= self.s * np.maximum(a, b)
+
 
 def boundary(sizes: dict[int, int], skew: float, rule: Rule, most: int = 64) -> int:
     """The largest light size, by cost. ``sizes``: number of sets by size, up to ``most``."""
@@ -121,279 +129,410 @@ def boundary(sizes: dict[int, int], skew: float, rule: Rule, most: int = 64) ->
     return min(range(most + 1), key=lambda x: (cost(x), x))
 
 
-def keys_of(members: np.ndarray, cells: np.ndarray, light: int, rule: Rule) -> list[tuple[np.ndarray, int]]:
-    """Join keys of a set, with 0 for those of light sets and 1 for those of inverted lists."""
+def ranks_of(cells: np.ndarray) -> np.ndarray:
+    """Counts as bytes: four steps for each power of two."""
+    return np.floor(4 * np.log2(1.0 + cells)).astype(np.uint8)
+
+
+def keys_of(members: np.ndarray, ranks: np.ndarray, light: int, rule: Rule) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Join keys of a set with their ranks, and 0 for those of light sets, 1 for those of inverted lists."""
     n = len(members)
     if n < 2:  # a set of one is linked with equal sets only
         return []
-    ordered = members[np.lexsort((members, cells[(members & np.uint64(len(cells) - 1)).astype(np.int64)]))]
+    rank = ranks[(members & np.uint64(len(ranks) - 1)).astype(np.int64)]
+    order = np.argsort((rank.astype(np.uint64) << np.uint64(56)) | (members >> np.uint64(8)), kind="stable")
     out = []
     if n <= light:
-        first = ordered[: n - rule.least(n) + 2]
+        first = order[: n - rule.least(n) + 2]
         a, b = np.triu_indices(len(first), 1)
-        low, high = np.minimum(first[a], first[b]), np.maximum(first[a], first[b])
-        out.append((_mixed(low * _FACTORS[0] + _mixed(high)), 0))
+        a, b = first[a], first[b]
+        low, high = np.minimum(members[a], members[b]), np.maximum(members[a], members[b])
+        out.append((mixed(low * _FACTOR + mixed(high)), np.minimum(rank[a], rank[b]), 0))
     if n > light or n >= rule.least(light + 1):
-        out.append((ordered[: n - rule.rest(n)], 1))
+        first = order[: n - rule.rest(n)]
+        out.append((members[first], rank[first], 1))
     return out
 
 
 def _describe(docs: DataFrame, words: int, cells_log2: int) -> DataFrame:
-    """A row for each document (id, size, digest of the set) and the blocks of the tasks' sketches."""
+    """A row for each document (id, size, node) and the blocks of the tasks' sketches."""
+    names = ["id", "n", "node", "block", "cells"]
 
     def run(batches):
         cells = np.zeros(1 << cells_log2, np.uint32)
         mask = np.uint64(len(cells) - 1)
         for batch in batches:
-            ids, sizes, digests = batch.column(0), [], []
-            for text in batch.column(1).to_pylist():
-                s = shingles(text, words)
+            sizes, nodes, places = [], [], []
+            for s in shingle_sets(batch.column(1), words):
                 sizes.append(len(s))
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                at, times = np.unique((s & mask).astype(np.int64), return_counts=True)
-                cells[at] += times.astype(np.uint32)
+                nodes.append(node_of(s) if len(s) else None)
+                places.append((s & mask).astype(np.int64))
+            if places:
+                np.add.at(cells, np.concatenate(places), np.uint32(1))
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-        if cells.any():
-            parts = cells.view(np.uint8).reshape(-1, BLOCK_BYTES)
-            n = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        parts = cells.view(np.uint8).reshape(-1, BLOCK_BYTES)
+        for k in np.flatnonzero(parts.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], names=names)
+
+    return map_arrow(docs, run, "id long, n int, node long, block int, cells binary")
+
+
+class _Rows:
+    """Arrays gathered until they are worth a batch."""
+
+    def __init__(self, names: list[str], least: int = 200_000):
+        self.names, self.least, self.held, self.size = names, least, [], 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.held.append(columns)
+        self.size += len(columns[0])
 
-    names = ["id", "n", "digest", "block", "cells"]
-    return map_arrow(docs, run, "id long, n int, digest binary, block int, cells binary")
+    def flush(self, force: bool = False):
+        if self.size and (force or self.size >= self.least):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*self.held)], names=self.names)
+            self.held, self.size = [], 0
 
 
-def _emit(docs: DataFrame, words: int, cells: np.ndarray, light: int, rule: Rule) -> DataFrame:
-    """``key, side, id, n`` of every set. Copies that one task meets again (of the last many) are left to their class."""
-    sent = docs.sparkSession.sparkContext.broadcast(cells)
-    names = ["key", "side", "id", "n"]
+#: Rows of sets under their keys. ``part``: -1, or the number of parts of the list and (in the low 16 bits) the row's part.
+_KEYED = "key long, part int, node long, n int, id long"
+_NAMES = [c.split()[0] for c in _KEYED.split(", ")]
+
+
+def _parts(keys: np.ndarray, ranks: np.ndarray, node: int) -> np.ndarray:
+    """The part of each row of a node, from the sketch's counts."""
+    parts = np.full(len(keys), -1, np.int32)
+    long = np.flatnonzero(ranks > 4 * math.log2(1 + PART))
+    if len(long):
+        ways = np.minimum(np.ceil(np.exp2((ranks[long].astype(float) + 1) / 4) / PART), 30_000).astype(np.uint64)
+        own = mixed(keys[long] ^ np.uint64(node % (1 << 64))) % ways
+        parts[long] = ((ways << np.uint64(16)) | own).astype(np.int32)
+    return parts
+
+
+def _emit(docs: DataFrame, words: int, sent, light: int, rule: Rule) -> DataFrame:
+    """A row for every key of every set. The low bit of a key tells its side. Copies that one task meets again (of the last many) are left out."""
 
     def run(batches):
         seen: OrderedDict = OrderedDict()
-
-        def flush(held):
-            sizes = [len(k) for k, *_ in held]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([k for k, *_ in held]).view(np.int64)),
-                    pa.array(np.repeat(np.array([h[1] for h in held], np.int32), sizes)),
-                    pa.array(np.repeat(np.array([h[2] for h in held], np.int64), sizes)),
-                    pa.array(np.repeat(np.array([h[3] for h in held], np.int32), sizes)),
-                ],
-                names=names,
-            )
-
-        held, size = [], 0
+        rows = _Rows(_NAMES)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingles(text, words)
-                digest = xxhash.xxh3_128_digest(s.tobytes())
-                if digest in seen:
+            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words)):
+                if len(s) < 2:
+                    continue
+                node = node_of(s)
+                if node in seen:
                     continue
-                seen[digest] = None
-                if len(seen) > 50_000:
+                seen[node] = None
+                if len(seen) > SEEN:
                     seen.popitem(last=False)
-                for keys, side in keys_of(s, sent.value, light, rule):
-                    held.append((keys, side, doc, len(s)))
-                    size += len(keys)
-                    if size > 200_000:
-                        yield flush(held)
-                        held, size = [], 0
-        if held:
-            yield flush(held)
+                for keys, ranks, side in keys_of(s, sent.value, light, rule):
+                    m = len(keys)
+                    sided = ((keys & ~_ONE) | np.uint64(side)).view(np.int64)
+                    rows.add(sided, _parts(keys, ranks, node), np.full(m, node, np.int64), np.full(m, len(s), np.int32), np.full(m, doc, np.int64))
+                    yield from rows.flush()
+        yield from rows.flush(True)
+
+    return map_arrow(docs, run, _KEYED)
+
 
-    return map_arrow(docs, run, "key long, side int, id long, n int")
+def _columns(batch) -> list[np.ndarray]:
+    return [c.to_numpy() for c in batch.columns]
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows whose key another row has too, from one pass over sorted partitions."""
+def _by_key(rows: DataFrame) -> DataFrame:
+    """One row for each node under a key, and none where no other node has the key, from one pass over sorted partitions. In a list of parts all stay."""
 
     def run(batches):
-        last = None  # the last row so far, and whether it is known to be shared
+        last, known = None, False  # the last row so far, and whether it is known to be shared
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data = pa.Table.from_batches([batch])
+            data = _columns(batch)
             if last is not None:
-                data = pa.concat_tables([last[0], data]).combine_chunks()
-            key = data.column(0).to_numpy()
-            same = key[1:] == key[:-1]
-            shared = np.zeros(len(key), bool)
+                data = [np.concatenate(x) for x in zip(last, data)]
+            key, part, node = data[:3]
+            same = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
+            fresh = np.append(True, ~(same & (node[1:] == node[:-1])))
+            data = [c[fresh] for c in data]
+            key, part = data[:2]
+            same = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
+            shared = part >= 0
             shared[1:] |= same
             shared[:-1] |= same
-            if last is not None and last[1]:
-                shared[0] = True
-            last = (data.slice(len(key) - 1, 1), bool(shared[-1]))
-            out = data.slice(0, len(key) - 1).filter(pa.array(shared[:-1]))
-            yield from out.combine_chunks().to_batches()
-        if last is not None and last[1]:
-            yield from last[0].to_batches()
+            shared[0] |= known
+            last, known = [c[-1:] for c in data], bool(shared[-1])
+            shared[-1] = False
+            yield pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in data], names=_NAMES)
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=_NAMES)
+
+    return map_arrow(rows.repartition("key", "part").sortWithinPartitions("key", "part", "node", "id"), run, _KEYED)
+
+
+def _by_node(rows: DataFrame) -> DataFrame:
+    """Rows of nodes that share enough to be linked with anything."""
 
-    ordered = rows.repartition("key").sortWithinPartitions("key")
-    return map_arrow(ordered, run, "key long, side int, id long, n int")
+    def enough(data: list[np.ndarray]):
+        key, _, node, n, _ = data
+        side = (key & 1).astype(np.int64)
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        held = np.repeat(np.add.reduceat(side, first), np.diff(np.append(first, len(node))))
+        keep = (side == 0) | (held >= np.maximum(1, n // MARGIN))
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in data], names=_NAMES)
 
+    def run(batches):
+        open_rows: list = []  # rows of the last node so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data = _columns(batch)
+            if open_rows and data[2][-1] == open_rows[0][2][0]:
+                open_rows.append(data)
+                continue
+            data = [np.concatenate(c) for c in zip(*open_rows, data)]
+            start = int(np.searchsorted(data[2], data[2][-1]))
+            open_rows = [[c[start:] for c in data]]
+            if start:
+                yield enough([c[:start] for c in data])
+        if open_rows:
+            yield enough([np.concatenate(c) for c in zip(*open_rows)])
 
-def _pruned(rows: DataFrame, times: int = 2) -> DataFrame:
-    """Rows of sets that share enough to be linked with anything."""
-    for _ in range(times):
-        counts = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        rows = rows.join(counts, "key", "left_semi")
-        good = rows.groupBy("id", "side").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(f"side = 0 OR c >= n div {MARGIN}")
-        rows = settle(rows.join(good.select("id", "side"), ["id", "side"], "left_semi"), "ngram-rows")
-    return rows
+    return map_arrow(rows.repartition("node").sortWithinPartitions("node"), run, _KEYED)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """``id, members`` of the documents wanted (and perhaps a few more), found by a bitmap of fixed size."""
-    mask = (1 << BITS_LOG2) - 1
+def _sets(docs: DataFrame, rows: DataFrame, words: int, bits_log2: int) -> DataFrame:
+    """``node, members`` of the nodes of ``rows`` (and of a few documents more), found by a filter of their ids."""
+    mask = (1 << bits_log2) - 1
 
     def place(values: np.ndarray) -> np.ndarray:
-        return (_mixed(values.view(np.uint64) * _FACTORS[1]) & np.uint64(mask)).astype(np.int64)
+        return (mixed(values.view(np.uint64) * _FACTOR) & np.uint64(mask)).astype(np.int64)
 
     def mark(batches):
-        bits = np.zeros(1 << (BITS_LOG2 - 3), np.uint8)
+        bits = np.zeros(1 << (bits_log2 - 3), np.uint8)
         for batch in batches:
-            at = place(batch.column(0).to_numpy())
+            at = place(np.unique(batch.column(0).to_numpy()))
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         parts = bits.reshape(-1, BLOCK_BYTES)
-        some = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[k].tobytes() for k in some], pa.binary())], names=["block", "cells"])
+        for k in np.flatnonzero(parts.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], names=["block", "cells"])
 
-    bits = reduce_blocks(map_arrow(ids, mark, "block int, cells binary"), np.bitwise_or, "u1", 1 << (BITS_LOG2 - 3))
+    bits = reduce_blocks(map_arrow(rows.select("id"), mark, "block int, cells binary"), np.bitwise_or, "u1", 1 << (bits_log2 - 3))
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
+        seen: OrderedDict = OrderedDict()
         for batch in batches:
-            own = batch.column(0).to_numpy()
-            at = place(own)
+            at = place(batch.column(0).to_numpy())
             wanted = np.flatnonzero(sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            for start in range(0, len(wanted), 1000):
-                some = batch.take(pa.array(wanted[start : start + 1000]))
-                sets = [shingles(t, words).view(np.int64) for t in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
-
-    return map_arrow(docs, run, "id long, members array<long>")
+            for start in range(0, len(wanted), 500):
+                texts = batch.column(1).take(pa.array(wanted[start : start + 500]))
+                nodes, sets = [], []
+                for s in shingle_sets(texts, words):
+                    if len(s) and (node := node_of(s)) not in seen:
+                        seen[node] = None
+                        if len(seen) > SEEN:
+                            seen.popitem(last=False)
+                        nodes.append(node)
+                        sets.append(s.view(np.int64))
+                if nodes:
+                    ends = np.cumsum([0, *map(len, sets)])
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists], names=["node", "members"])
+
+    return map_arrow(docs, run, "node long, members array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs whose sets are linked."""
-    left = sets.select(F.col("id").alias("x"), F.col("members").alias("mx"))
-    right = sets.select(F.col("id").alias("y"), F.col("members").alias("my"))
+    """The pairs (each once) whose sets are linked."""
+    left = sets.select(F.col("node").alias("x"), F.col("members").alias("mx"))
+    right = sets.select(F.col("node").alias("y"), F.col("members").alias("my"))
     both = F.size(F.array_intersect("mx", "my")).cast("long")
     joined = pairs.select("x", "y").join(left, "x").join(right, "y")
     return joined.where(100 * both >= rule.s * (F.size("mx") + F.size("my") - both)).select("x", "y").distinct()
 
 
-def _neighbours(rows: DataFrame, order: list, gap: int, rule: Rule) -> DataFrame:
-    """Pairs of different components at most ``gap`` rows apart in some list.
+def _neighbours(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Candidates that are neighbours in some list, each once: next to each other by size or by node, or behind the head of a run.
 
-    Sets that meet in long lists meet in many of them: behind its first rows a list gives pairs only if it is one in four (by its
-    key). What this leaves out is found by scanning.
+    Reads the sorted rows as they were written; where a list is cut between two tasks, a few neighbours are left to scanning.
     """
 
+    def pairs(data):
+        key, part, node, n = data
+
+        def of(order, heads):
+            k, p, i, m = key[order], part[order], node[order], n[order].astype(np.int64)
+            places = np.arange(len(k))
+            fresh = np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1]))
+            start = np.maximum.accumulate(np.where(fresh, places, 0))
+            others = [places - 1] + ([start + (places - start) // RUN * RUN] if heads else [])
+            for other in others:
+                at = np.flatnonzero(~fresh & (other < places))
+                to = other[at]
+                good = rule.alike(m[at], m[to])
+                a, b = i[at[good]], i[to[good]]
+                yield np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+
+        found = [*of(np.lexsort((node, n, part, key)), True), *of(np.lexsort((node, part, key)), False)]
+        return np.unique(np.concatenate(found), axis=0)
+
     def run(batches):
-        tail, found, size = None, [], 0
+        tail, held, size = None, [], 0
 
-        def distinct():
-            pairs = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["x", "y"])
+        def flush():
+            all_pairs = np.unique(np.concatenate(held), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(all_pairs[:, k])) for k in range(2)], names=["x", "y"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [c.to_numpy() for c in batch.columns]
-            old = 0 if tail is None else len(tail[0])
-            key, ids, n, comp = new if tail is None else [np.concatenate(x) for x in zip(tail, new)]
-            places = np.arange(len(key))
-            place = places - np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), places, 0))
-            gives = (place < LONG_LIST) | (key & 3 == 0)
-            for d in range(1, min(gap, len(key) - 1) + 1):
-                start = max(0, old - d)  # pairs within the tail were met before
-                k, i, m, c, g = (x[start:] for x in (key, ids, n, comp, gives))
-                low, high = np.minimum(m[d:], m[:-d]).astype(np.int64), np.maximum(m[d:], m[:-d]).astype(np.int64)
-                at = np.flatnonzero(g[d:] & (k[d:] == k[:-d]) & (c[d:] != c[:-d]) & (low * 100 >= rule.s * high))
-                found.append(np.stack([np.minimum(i[at], i[at + d]), np.maximum(i[at], i[at + d])], 1))
-                size += len(at)
-            tail = [c[-gap:] for c in (key, ids, n, comp)]
-            if size > 1_000_000:
-                yield distinct()
-                found, size = [], 0
-        if size:
-            yield distinct()
-
-    ordered = rows.repartition("key").sortWithinPartitions("key", *order).select("key", "id", "n", "comp")
-    return map_arrow(ordered, run, "x long, y long")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """``id, comp`` of every end of ``links`` (``x, y``): the smallest id reachable."""
-    edges = settle(links.select("x", "y").union(links.select("y", "x")).toDF("id", "to").distinct(), "ngram-edges")
-    labels = edges.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("comp"))
-    while True:
-        near = edges.join(labels.select(F.col("id").alias("to"), F.col("comp").alias("c")), "to").groupBy("id").agg(F.min("c").alias("c"))
-        lower = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
-        jump = lower.select(F.col("id").alias("comp"), F.col("comp").alias("c"))
-        labels = settle(lower.join(jump, "comp").select("id", "old", F.least("comp", "c").alias("comp")), "ngram-labels")
-        if labels.where("old <> comp").isEmpty():
-            return labels.select("id", "comp")
-        labels = labels.select("id", "comp")
-
-
-def _scanned(rows: DataFrame, rule: Rule) -> DataFrame:
-    """All pairs across components that share enough in their lists, by scanning whole lists for every set of a lesser component."""
-    sizes = rows.select("comp", "id").distinct().groupBy("comp").agg(F.count("*").alias("weight"))
-    ranked = rows.join(sizes, "comp").withColumn("rank", F.struct("weight", "comp"))
-    tops = ranked.groupBy("key").agg(F.max("rank").alias("top"), F.min("rank").alias("low"), F.count("*").alias("c")).where("top <> low")
-    open_rows = ranked.join(tops, "key")
-    probes = open_rows.where("rank < top").select("key", "side", "id", "n", "weight", "comp")
-    lists = (
-        open_rows.groupBy("key", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / LIST_BLOCK)).alias("part"))
-        .agg(F.collect_list(F.struct("id", "n", "weight", "comp")).alias("entries"))
-        .select("key", "entries")
-    )
-    beyond = lambda e: (e["weight"] > F.col("weight")) | ((e["weight"] == F.col("weight")) & (e["comp"] > F.col("comp")))
-    alike = lambda e: F.least(e["n"], F.col("n")).cast("long") * 100 >= F.greatest(e["n"], F.col("n")).cast("long") * rule.s
-    # only what may be a partner goes on
-    some = F.transform(F.filter("entries", lambda e: beyond(e) & alike(e)), lambda e: F.struct(e["id"].alias("id"), e["n"].alias("n")))
-    met = probes.join(lists, "key").select("id", "side", "n", some.alias("entries")).where(F.size("entries") > 0)
+            data = _columns(batch)
+            if tail is not None:
+                data = [np.concatenate(x) for x in zip(tail, data)]
+            start = int(np.searchsorted(data[0], data[0][-1]))  # the last list may go on
+            if len(data[0]) - start > 50_000:
+                start = len(data[0]) - 1
+            tail = [c[start:] for c in data]
+            if start:
+                held.append(pairs([c[: start + 1 if data[0][start - 1] == data[0][start] else start] for c in data]))
+                size += len(held[-1])
+            if size > 500_000:
+                yield flush()
+                held, size = [], 0
+        if tail is not None:
+            held.append(pairs(tail))
+            yield flush()
+
+    return map_arrow(rows.select("key", "part", "node", "n"), run, "x long, y long").distinct()
+
+
+def _scanned(rows: DataFrame, stars: DataFrame, split: bool, rule: Rule) -> DataFrame:
+    """Candidates across components that share enough in their lists, by scanning whole lists for every set of a lesser component."""
+    sizes = stars.groupBy("comp").agg(F.count("*").alias("weight"))
+    known = stars.join(sizes, "comp").select(F.col("id").alias("node"), "comp", "weight")
+    rows = rows.select("key", "part", "node", "n").join(known, "node", "left")
+    rows = rows.select("key", "part", "node", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    whole = rows.select("key", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("own"), "node", "n", "comp", "weight")
+    if split:  # the parts of a list that several components are in meet two by two
+        whole = whole.where("part < 0")
+        dealt = rows.where("part >= 0").withColumn("own", F.col("part").bitwiseAND(0xFFFF)).withColumn("ways", F.shiftright("part", 16))
+        mixed_keys = dealt.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        dealt = dealt.join(mixed_keys, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+        whole = whole.union(dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "n", "comp", "weight"))
+    names = ["node", "side", "n", "entries", "sizes"]
+
+    def scan(data):
+        """Probes of one list, each with its entries."""
+        key, a, b, own, node, n, comp, weight = data
+        order = np.lexsort((comp, weight))
+        own, node, n, comp, weight = (c[order] for c in (own, node, n, comp, weight))
+        n = n.astype(np.int64)
+        fresh = np.append(True, (comp[1:] != comp[:-1]))
+        first = np.flatnonzero(fresh)
+        beyond = np.append(first[1:], len(comp))[np.cumsum(fresh) - 1]
+        probes, entries = [], []
+        for k in range(int(first[-1])):
+            low = beyond[k]
+            good = rule.alike(n[low:], n[k])
+            if a[0] != b[0]:
+                good &= own[low:] != own[k]
+            at = low + np.flatnonzero(good)
+            if len(at):
+                probes.append(k)
+                entries.append(at)
+            if len(entries) == 1000 or sum(map(len, entries[-1:])) > 100_000:
+                yield batch_of(key[0], probes, entries, node, n)
+                probes, entries = [], []
+        if probes:
+            yield batch_of(key[0], probes, entries, node, n)
+
+    def batch_of(key, probes, entries, node, n):
+        ends = pa.array(np.cumsum([0, *map(len, entries)]), pa.int32())
+        flat = np.concatenate(entries)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(node[probes]),
+                pa.array(np.full(len(probes), key & 1, np.int32)),
+                pa.array(n[probes]),
+                pa.ListArray.from_arrays(ends, pa.array(node[flat])),
+                pa.ListArray.from_arrays(ends, pa.array(n[flat])),
+            ],
+            names=names,
+        )
+
+    def lists(batches):
+        open_rows: list = []
+
+        def close():
+            data = [np.concatenate(c) for c in zip(*open_rows)]
+            if len(data[0]) > 1 and (data[6] != data[6][0]).any():
+                yield from scan(data)
 
-    def run(batches):
-        now, held = None, []
-        out_x, out_y = [], []
-
-        def finish():
-            """Partners of one set."""
-            if not held:
-                return
-            ids, n = (np.concatenate(c) for c in zip(*held))
-            _, side, own_n = now
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data = _columns(batch)
+            key, a, b = data[:3]
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+            if open_rows and any(open_rows[0][k][0] != data[k][0] for k in range(3)):
+                yield from close()
+                open_rows = []
+            # only lists of several components are looked at one by one
+            comp = data[6]
+            ends = np.append(cuts, len(key))
+            starts = np.append(0, cuts)
+            lows, highs = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
+            for k, (low, high) in enumerate(zip(starts.tolist(), ends.tolist())):
+                if k == 0 and len(starts) > 1:
+                    open_rows.append([c[low:high] for c in data])
+                    yield from close()
+                    open_rows = []
+                elif k == len(starts) - 1:
+                    open_rows.append([c[low:high] for c in data])
+                elif lows[k] != highs[k]:
+                    yield from scan([c[low:high] for c in data])
+        if open_rows:
+            yield from close()
+
+    met = map_arrow(whole.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b"), lists, "node long, side int, n long, entries array<long>, sizes array<long>")
+
+    def count(batches):
+        now, held, size = None, [], 0  # the set, and what it met: nodes, sizes, times
+        out = _Rows(["x", "y"], 100_000)
+
+        def merge():
+            ids, n, times = (np.concatenate(c) for c in zip(*held))
             order = np.argsort(ids, kind="stable")
-            ids, n = ids[order], n[order].astype(np.int64)
+            ids, n, times = ids[order], n[order], times[order]
             first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            count = np.diff(np.append(first, len(ids)))
-            enough = count >= (rule.lacking(own_n, n[first]) if side else 1)
-            partners = ids[first][enough]
-            out_x.append(np.full(len(partners), now[0]))
-            out_y.append(partners)
+            return ids[first], n[first], np.add.reduceat(times, first)
+
+        def finish():
+            if held:
+                ids, n, times = merge()
+                found = ids[times >= (rule.lacking(now[2], n) if now[1] else 1)]
+                out.add(np.minimum(found, now[0]), np.maximum(found, now[0]))
 
         for batch in batches:
-            values = batch.column(3)
-            offsets = values.offsets.to_numpy()
-            partners, sizes = (values.values.field(k).to_numpy() for k in range(2))
-            for i, (doc, side, n) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]))):
-                if now is None or now[:2] != (doc, side):
+            columns = [batch.column(k).to_pylist() for k in range(3)]
+            offsets = batch.column(3).offsets.to_numpy()
+            ids, n = (batch.column(k).values.to_numpy() for k in (3, 4))
+            for k, probe in enumerate(zip(*columns)):
+                if probe != now:
                     finish()
-                    now, held = (doc, side, n), []
-                held.append((partners[offsets[i] : offsets[i + 1]], sizes[offsets[i] : offsets[i + 1]]))
-            if sum(map(len, out_x)) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_x)), pa.array(np.concatenate(out_y))], names=["x", "y"])
-                out_x, out_y = [], []
+                    yield from out.flush()
+                    now, held, size = probe, [], 0
+                low, high = offsets[k], offsets[k + 1]
+                held.append((ids[low:high], n[low:high], np.ones(high - low, np.int64)))
+                size += high - low
+                if size > 1 << 20 and len(held) > 1:
+                    held = [merge()]
+                    size = len(held[0][0]) // 2  # distinct ones stay, so wait until as many again have come
         finish()
-        if out_x:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_x)), pa.array(np.concatenate(out_y))], names=["x", "y"])
+        yield from out.flush(True)
 
-    ordered = met.repartition("id", "side").sortWithinPartitions("id", "side")
-    return map_arrow(ordered, run, "x long, y long").distinct()
+    return map_arrow(met.repartition("node", "side").sortWithinPartitions("node", "side"), count, "x long, y long").distinct()
 
 
 def _linked(members: np.ndarray, sizes: np.ndarray, rule: Rule) -> np.ndarray:
@@ -416,31 +555,33 @@ def _linked(members: np.ndarray, sizes: np.ndarray, rule: Rule) -> np.ndarray:
     return 100 * both >= rule.s * (n[:, None] + n[None, :] - both)
 
 
-def _within(labels: DataFrame, reps: DataFrame, sets: DataFrame, rule: Rule, pairs: bool) -> DataFrame:
-    """All links inside components of three classes and more: pairs ``x, y``, or ``id, c``, the documents in classes linked with one (to be summed)."""
-    sized = labels.join(reps, "id")
+def _within(info: DataFrame, sets: DataFrame, rule: Rule, pairs: bool) -> DataFrame:
+    """All links inside components of three nodes and more: pairs ``x, y`` of first ids, or ``node, c``, the documents of nodes linked with one (to be summed)."""
     ways = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_MEMBERS)).cast("int").alias("ways")
-    sized = sized.join(sized.groupBy("comp").agg(ways, F.count("*").alias("classes")).where("classes > 2"), "comp")
-    part = F.pmod(F.xxhash64("id"), F.col("ways")).cast("int").alias("part")
-    dealt = sized.select("id", "comp", "docs", part, F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("other"))
-    dealt = dealt.select("id", "comp", "docs", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
-    names = ["x", "y"] if pairs else ["id", "c"]
+    sized = info.where("comp IS NOT NULL")
+    sized = sized.join(sized.groupBy("comp").agg(ways, F.count("*").alias("nodes")).where("nodes > 2"), "comp")
+    part = F.pmod(F.xxhash64("node"), F.col("ways")).cast("int").alias("part")
+    dealt = sized.select("node", "comp", "docs", "first", part, F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("other"))
+    dealt = dealt.select("node", "comp", "docs", "first", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+    names = ["x", "y"] if pairs else ["node", "c"]
 
     def finish(key, held):
-        ids, docs, parts = (np.concatenate([h[k] for h in held]) for k in range(3))
-        sizes = np.concatenate([h[3] for h in held])
-        linked = _linked(np.concatenate([h[4] for h in held]), sizes, rule)
+        nodes, docs, firsts, parts = (np.concatenate([h[k] for h in held]) for k in range(4))
+        sizes = np.concatenate([h[4] for h in held])
+        linked = _linked(np.concatenate([h[5] for h in held]), sizes, rule)
         if key[1] != key[2]:  # pairs within a block have their own group
             linked &= parts[:, None] != parts[None, :]
-        own, first, at = np.unique(ids, return_index=True, return_inverse=True)
+        own, first, at = np.unique(nodes, return_index=True, return_inverse=True)
         x, y = np.nonzero(linked)
         found = np.zeros((len(own), len(own)), bool)
         found[at[x], at[y]] = True
         np.fill_diagonal(found, False)
         if pairs:
             x, y = np.nonzero(np.triu(found))
+            a, b = firsts[first][x], firsts[first][y]
             for start in range(0, len(x), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(own[x[start : start + 100_000]]), pa.array(own[y[start : start + 100_000]])], names=names)
+                some = slice(start, start + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[some], b[some])), pa.array(np.maximum(a[some], b[some]))], names=names)
         else:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(found @ docs[first])], names=names)
 
@@ -449,8 +590,8 @@ def _within(labels: DataFrame, reps: DataFrame, sets: DataFrame, rule: Rule, pai
         for batch in batches:
             if not batch.num_rows:
                 continue
-            comp, a, b, ids, docs, parts = (batch.column(k).to_numpy() for k in range(6))
-            values = batch.column(6)
+            comp, a, b, nodes, docs, firsts, parts = (batch.column(k).to_numpy() for k in range(7))
+            values = batch.column(7)
             offsets = values.offsets.to_numpy()
             flat = values.values.to_numpy()
             cuts = np.flatnonzero((comp[1:] != comp[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
@@ -461,76 +602,100 @@ def _within(labels: DataFrame, reps: DataFrame, sets: DataFrame, rule: Rule, pai
                         yield from finish(now, held)
                     now, held = key, []
                 some = slice(low, high)
-                held.append((ids[some], docs[some], parts[some], np.diff(offsets[low : high + 1]), flat[offsets[low] : offsets[high]]))
+                held.append((nodes[some], docs[some], firsts[some], parts[some], np.diff(offsets[low : high + 1]), flat[offsets[low] : offsets[high]]))
         if held:
             yield from finish(now, held)
 
-    whole = dealt.join(sets, "id").select("comp", "a", "b", "id", "docs", "part", "members")
+    whole = dealt.join(sets, "node").select("comp", "a", "b", "node", "docs", "first", "part", "members")
     return map_arrow(whole.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b"), run, ", ".join(f"{c} long" for c in names))
 
 
-def _join(df: DataFrame, id_col: str, text_col: str, words: int, similarity: int, cells_log2: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, Rule]:
-    """Documents with their classes (``id, n, rep``), classes (``id, docs, n``), components of linked classes (``id, comp``), their sets, and the rule."""
+def _power(count: float, least: int, most: int) -> int:
+    return min(most, max(least, math.ceil(math.log2(max(1.0, count)))))
+
+
+def _join(df: DataFrame, id_col: str, text_col: str, words: int, similarity: int, cells_log2: int | None, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, Rule]:
+    """Documents (``id, n, node``), nodes (``node, first, docs, n, comp``; comp is null where nothing is linked), their sets, and the rule."""
     rule = Rule(similarity)
+    spark = df.sparkSession
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    if cells_log2 is None:
+        cells_log2 = _power((docs.agg(F.sum(F.length("text"))).first()[0] or 0) / CELL_BYTES, LEAST_CELLS, MOST_CELLS)
 
-    told = settle(_describe(docs, words, cells_log2), "ngram-told")
+    told = scratch.settle(_describe(docs, words, cells_log2), "told")
     cells = reduce_blocks(told.where("block IS NOT NULL"), np.add, "u4", 4 << cells_log2)
-    classes = told.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
-    members = told.where("block IS NULL").select("id", "n", "digest").join(classes, "digest", "left")
-    members = settle(members.select("id", "n", F.coalesce("rep", "id").alias("rep")), "ngram-members")
-    sizes = {r["n"]: r["c"] for r in members.where("n BETWEEN 1 AND 128").groupBy("n").agg(F.count("*").alias("c")).collect()}
+    told = told.where("block IS NULL").select("id", "n", "node")
+    sizes = {r["n"]: r["c"] for r in told.where("n BETWEEN 1 AND 128").groupBy("n").agg(F.count("*").alias("c")).collect()}
     total = float(cells.sum())
     skew = float((cells.astype(np.float64) ** 2).sum()) * len(cells) / total**2 if total else 1.0
     light = boundary(sizes, skew, rule)
-
-    rows = settle(_shared(_emit(docs, words, cells, light, rule)), "ngram-shared")
-    reps = members.select("id", "rep").distinct()
-    rows = rows.join(reps, "id").select("key", "side", F.col("rep").alias("id"), "n").distinct()
-    rows = _pruned(rows)
-    sets = settle(_sets(docs, rows.select("id").distinct(), words), "ngram-sets")
-
-    alone = rows.withColumn("comp", F.col("id"))
-    near = [_neighbours(alone, order, 1, rule) for order in (["n", "id"], [F.xxhash64("id")])]
-    links = settle(_verified(near[0].union(near[1]).distinct(), sets, rule), "ngram-links")
-    labelled = rows.join(components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    rest = settle(_verified(_scanned(labelled, rule), sets, rule), "ngram-links")
-    labels = components(links.union(rest))
-    classes = members.groupBy(F.col("rep").alias("id")).agg(F.count_distinct("id").alias("docs"), F.max("n").alias("n"))
-    return members, classes, labels, sets, rule
+    ranks = ranks_of(cells)
+    split = bool((ranks > 4 * math.log2(1 + PART)).any())
+    sent = spark.sparkContext.broadcast(ranks)
+    rows = scratch.settle(_by_key(_by_node(_by_key(_emit(docs, words, sent, light, rule)))), "rows")
+    sent.destroy()
+    bits = _power(ROW_BITS * rows.count(), LEAST_BITS, MOST_BITS)
+    sets = scratch.settle(_sets(docs, rows, words, bits), "sets")
+
+    links = scratch.settle(_verified(_neighbours(rows, rule), sets, rule), "links")
+    stars = components(links, scratch)
+    rest = scratch.settle(_verified(_scanned(rows, stars, split, rule), sets, rule), "rest")
+    scratch.drop("rows")
+    if log.isEnabledFor(logging.INFO):
+        log.info("boundary %d at skew %.2f; %d links of neighbours, %d of scanned lists", light, skew, links.count(), rest.count())
+    if not rest.isEmpty():
+        stars = components(stars.where("id <> comp").toDF("x", "y").union(rest), scratch)
+    nodes = told.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("docs"), F.max("n").alias("n"))
+    info = scratch.settle(nodes.join(stars.toDF("node", "comp"), "node", "left"), "nodes")
+    scratch.drop("links", "rest", "stars")
+    return told, info, sets, rule
 
 
 def jaccard_components(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, cells_log2: int = CELLS_LOG2
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = WORDS,
+    similarity: int = SIMILARITY,
+    cells_log2: int | None = None,
+    links: bool = True,
 ) -> DataFrame:
     """``id_col, n_shingles, component_id`` of every document, ``class_id``: the smallest id with an equal set, and ``n_links``: the other documents it is linked with."""
-    members, classes, labels, sets, rule = _join(df, id_col, text_col, words, similarity, cells_log2)
-    # of two classes, each is linked with the other
-    joined = labels.join(classes, "id")
-    two = joined.groupBy("comp").agg(F.sum("docs").alias("all"), F.count("*").alias("classes")).where("classes = 2")
-    counts = joined.join(two, "comp").select("id", (F.col("all") - F.col("docs")).alias("c")).union(_within(labels, classes, sets, rule, pairs=False))
-    counts = counts.groupBy("id").agg(F.sum("c").alias("c"))
-    told = classes.join(labels, "id", "left").join(counts, "id", "left")
-    told = told.select(F.col("id").alias("rep"), "comp", (F.col("docs") - 1 + F.coalesce("c", F.lit(0))).alias("links"))
-    shown = members.join(told, "rep", "left")
+    scratch = Scratch(df.sparkSession, "ngram-join")
+    told, info, sets, rule = _join(df, id_col, text_col, words, similarity, cells_log2, scratch)
+    least = info.where("comp IS NOT NULL").groupBy("comp").agg(F.min("first").alias("least"), F.sum("docs").alias("all"), F.count("*").alias("nodes"))
+    shown = info.join(scratch.settle(least, "components"), "comp", "left")
+    found = F.coalesce("least", "first").alias("component")
+    if links:
+        counts = _within(info, sets, rule, pairs=False).groupBy("node").agg(F.sum("c").alias("c"))
+        # of two nodes, each is linked with the other
+        others = F.when(F.col("nodes") == 2, F.col("all") - F.col("docs")).otherwise(F.coalesce("c", F.lit(0)))
+        shown = shown.join(counts, "node", "left").select("node", "first", found, (F.col("docs") - 1 + others).alias("links"))
+    else:
+        shown = shown.select("node", "first", found)
+    shown = scratch.settle(shown, "shown")
+    scratch.drop("sets", "nodes", "components")
 
     def as_id(c):
         return F.when(c != NO_ID, c)
 
-    return shown.select(
+    joined = told.where("node IS NOT NULL").join(shown, "node").drop("node")
+    alone = told.where("node IS NULL").select("id", "n", F.col("id").alias("first"), F.col("id").alias("component"), *[F.lit(0).cast("long").alias("links") for _ in range(links)])
+    return joined.union(alone).select(
         as_id(F.col("id")).alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
-        as_id(F.coalesce("comp", "rep")).alias("component_id"),
-        as_id(F.col("rep")).alias("class_id"),
-        F.col("links").alias("n_links"),
+        as_id(F.col("component")).alias("component_id"),
+        as_id(F.col("first")).alias("class_id"),
+        *[F.col("links").alias("n_links") for _ in range(links)],
     )
 
 
 def jaccard_links(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, cells_log2: int = CELLS_LOG2
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, cells_log2: int | None = None
 ) -> DataFrame:
     """``x, y`` of every two linked classes (by ``class_id``, x before y), each once. The members of a class are in the table of components."""
-    _, classes, labels, sets, rule = _join(df, id_col, text_col, words, similarity, cells_log2)
-    two = labels.groupBy("comp").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("classes")).where("classes = 2")
-    found = two.select("x", "y").union(_within(labels, classes, sets, rule, pairs=True))
+    scratch = Scratch(df.sparkSession, "ngram-links")
+    _, info, sets, rule = _join(df, id_col, text_col, words, similarity, cells_log2, scratch)
+    two = info.where("comp IS NOT NULL").groupBy("comp").agg(F.min("first").alias("x"), F.max("first").alias("y"), F.count("*").alias("nodes")).where("nodes = 2")
+    found = two.select("x", "y").union(_within(info, sets, rule, pairs=True))
     return found.select(F.when(F.col("x") != NO_ID, F.col("x")).alias("x"), "y")
