@@ -120,7 +120,7 @@ def test_linked_sets_share_enough_keys(similarity):
             if 100 * both < similarity * (len(x) + len(y) - both) or len(x) == len(y) == both:
                 continue
             assert both >= rule.overlap(len(x), len(y))
-            kx, ky = ({side: set(k.tolist()) for k, _, side in keys_of(s, ranks, light, rule)} for s in (x, y))
+            kx, ky = ({side: set(k.tolist()) for side, k in keys_of(s, ranks, light, rule).items()} for s in (x, y))
             found = {side: len(kx[side] & ky[side]) for side in kx.keys() & ky.keys()}
             assert found.get(0, 0) >= 1 or found.get(1, 0) >= rule.lacking(len(x), len(y)), (len(x), len(y), both, light, found)
             if len(x) > light:

@@ -131,17 +131,37 @@ def bucket_of(column: str, buckets: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % buckets
 
 
+#: What tasks send of an array is packed by byte planes, as most of its numbers are small.
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def pack(block: np.ndarray) -> bytes:
+    return _CODEC.compress(np.ascontiguousarray(block.view(np.uint8).reshape(-1, block.itemsize).T)).to_pybytes()
+
+
+def unpack(data: bytes, dtype: str) -> np.ndarray:
+    planes = np.frombuffer(_CODEC.decompress(data, BLOCK_BYTES), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def block_rows(array: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The blocks of an array that hold anything: their numbers and their packed cells."""
+    parts = array.reshape(-1, BLOCK_BYTES // array.itemsize)
+    some = np.flatnonzero(parts.any(axis=1))
+    return pa.array(some.astype(np.int32)), pa.array([pack(parts[k]) for k in some], pa.binary())
+
+
 def reduce_blocks(blocks: DataFrame, fold: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: str, total: int) -> np.ndarray:
-    """Fold arrays that tasks sent in blocks of equal size: first many per block, then one. ``total`` bytes in all."""
+    """Fold arrays that tasks sent as :func:`block_rows`: first many per block, then one. ``total`` bytes in all."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                new = np.frombuffer(cells, dtype)
-                held[block] = fold(held[block], new) if block in held else new.copy()
+                new = unpack(cells, dtype)
+                held[block] = fold(held[block], new) if block in held else new
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["block", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([pack(v) for v in held.values()], pa.binary())], names=["block", "cells"])
 
     rows = blocks.select("block", "cells")
     once = map_arrow(rows.repartition("block", F.spark_partition_id() % 16), run, "block int, cells binary")
@@ -149,5 +169,5 @@ def reduce_blocks(blocks: DataFrame, fold: Callable[[np.ndarray, np.ndarray], np
     out = np.zeros(total // np.dtype(dtype).itemsize, dtype)
     per = BLOCK_BYTES // np.dtype(dtype).itemsize
     for row in twice.collect():  # ``total`` bytes, whatever the input
-        out[row["block"] * per : row["block"] * per + per] = np.frombuffer(row["cells"], dtype)
+        out[row["block"] * per : row["block"] * per + per] = unpack(row["cells"], dtype)
     return out

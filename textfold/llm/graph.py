@@ -2,62 +2,39 @@
 
 Links are turned into stars around the smallest node by alternating two steps. In the small-star step
 every node hands its smaller neighbours, and itself, to the smallest of them; in the large-star step its
-larger neighbours go to the smallest node it knows. Each step is one exchange by node and one pass over
-sorted rows, in which the smallest neighbour comes first, so a node of any degree needs no memory. The
-number of rounds is logarithmic; the rounds end when a table repeats.
+larger neighbours go to the smallest node it knows. Each step is one exchange by node and a running
+minimum over its sorted rows, which Spark spills where a node has very many. The number of rounds is
+logarithmic; they end when every node that has a smaller neighbour has no other.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow
-
-
-def _pass(rows: DataFrame, large: bool) -> DataFrame:
-    """One step over rows ``x, y`` of every x, sorted by x and y."""
-
-    def run(batches):
-        last = least = before = None  # node, its smallest known one, its last neighbour
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (c.to_numpy() for c in batch.columns)
-            begins = np.append(x[0] != last, x[1:] != x[:-1])
-            first = np.flatnonzero(begins)
-            group = np.cumsum(begins) - 1
-            own = np.minimum(x[first], y[first])
-            if not begins[0]:
-                own, group = np.append(least, own), group + 1
-            lows = own[group]
-            fresh = begins | np.append(True, y[1:] != y[:-1])
-            if not begins[0]:
-                fresh[0] = y[0] != before
-            last, least, before = x[-1], lows[-1], y[-1]
-            if large:
-                keep = fresh & (y > x)
-                a, b = y[keep], lows[keep]
-            else:
-                keep = fresh & (y > lows)
-                a, b = np.concatenate((x[first], y[keep])), np.concatenate((lows[first], lows[keep]))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["x", "y"])
-
-    return map_arrow(rows.repartition("x").sortWithinPartitions("x", "y"), run, "x long, y long")
+from .common import Scratch
+
+
+def _reached(rows: DataFrame) -> DataFrame:
+    """Distinct ``x, y`` with ``least``, the smallest of x and its neighbours."""
+    apart = rows.repartition("x").distinct()  # by x already, so this deals out nothing again
+    return apart.withColumn("least", F.least("x", F.min("y").over(Window.partitionBy("x").orderBy("y"))))
+
+
+def _both(stars: DataFrame) -> DataFrame:
+    return stars.union(stars.select("y", "x")).toDF("x", "y")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """``id, comp`` of every end of ``links`` (``x, y``, two different nodes): the smallest node reachable. Each node once."""
-    stars, seen = links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")), None
+    stars = links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
     while True:
-        near = _pass(stars, large=False)
-        both = near.union(near.select("y", "x"))
-        stars = scratch.settle(_pass(both.toDF("x", "y"), large=True), "stars")
-        sign = stars.agg(F.count("*"), F.sum(F.xxhash64("x", "y") % (1 << 40))).first()
-        if seen == sign or not sign[0]:
+        near = _reached(stars)
+        # the smallest neighbour takes the others, and the node itself (which its first row brings)
+        near = near.select(F.when(F.col("y") == F.col("least"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("least").alias("y"))
+        wide = _reached(_both(near)).where("y > x").select(F.col("y").alias("x"), F.col("least").alias("y"))
+        stars = scratch.settle(wide, "stars")
+        if _both(stars).groupBy("x").agg(F.min("y").alias("low"), F.max("y").alias("high")).where("low < x AND low <> high").isEmpty():
             break
-        seen = sign
     roots = stars.select("y").distinct().select(F.col("y").alias("id"), F.col("y").alias("comp"))
     return stars.toDF("id", "comp").union(roots)

@@ -14,7 +14,7 @@ sets have at least k in common.
   from the histogram of sizes and the skew of a count sketch.
 
 The global order puts rare members first, by a count sketch over all documents whose size grows with
-their words (to 16 MB of ranks at most); the order decides only how much work there is, never the result.
+their words (to 4 MB of ranks at most; what a task sends of it is packed); the order decides only how much work there is, never the result.
 
 Equal sets are one node, known by a hash (64 bit) of the set; a task sends a node once, copies from
 different tasks meet under their keys and become one row. Lists of more than ``PART`` entries, by the
@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Scratch, map_arrow, reduce_blocks
+from .common import Scratch, block_rows, map_arrow, reduce_blocks
 from .graph import components
 from .wordsets import mixed, shingle_sets
 
@@ -57,7 +57,7 @@ log = logging.getLogger(__name__)
 WORDS = 5
 SIMILARITY = 80  # of 100
 #: Cells of the count sketch: one for so many bytes of text, within these powers of two.
-CELL_BYTES, LEAST_CELLS, MOST_CELLS = 256, 16, 24
+CELL_BYTES, LEAST_CELLS, MOST_CELLS = 256, 16, 22
 #: Bits of the filter of wanted documents: so many for each row, within these powers of two.
 ROW_BITS, LEAST_BITS, MOST_BITS = 4, 19, 28
 #: Entries of a list, by the sketch, from which it is dealt into parts.
@@ -134,24 +134,37 @@ def ranks_of(cells: np.ndarray) -> np.ndarray:
     return np.floor(4 * np.log2(1.0 + cells)).astype(np.uint8)
 
 
-def keys_of(members: np.ndarray, ranks: np.ndarray, light: int, rule: Rule) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Join keys of a set with their ranks, and 0 for those of light sets, 1 for those of inverted lists."""
-    n = len(members)
-    if n < 2:  # a set of one is linked with equal sets only
-        return []
+def order_of(members: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of members, and their places in the global order."""
     rank = ranks[(members & np.uint64(len(ranks) - 1)).astype(np.int64)]
-    order = np.argsort((rank.astype(np.uint64) << np.uint64(56)) | (members >> np.uint64(8)), kind="stable")
-    out = []
-    if n <= light:
-        first = order[: n - rule.least(n) + 2]
-        a, b = np.triu_indices(len(first), 1)
-        a, b = first[a], first[b]
-        low, high = np.minimum(members[a], members[b]), np.maximum(members[a], members[b])
-        out.append((mixed(low * _FACTOR + mixed(high)), np.minimum(rank[a], rank[b]), 0))
-    if n > light or n >= rule.least(light + 1):
-        first = order[: n - rule.rest(n)]
-        out.append((members[first], rank[first], 1))
-    return out
+    return rank, (rank.astype(np.uint64) << np.uint64(56)) | (members >> np.uint64(8))
+
+
+def prefixes_of(order: np.ndarray, light: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set, given by the order of its members: the members whose pairs are its keys, and those that are its keys in inverted lists."""
+    n = len(order)
+    none = np.zeros(0, np.int64)
+    if n < 2:  # a set of one is linked with equal sets only
+        return none, none
+
+    def first(k):
+        return np.argpartition(order, min(n, k) - 1)[:k]
+
+    return first(n - rule.least(n) + 2) if n <= light else none, first(n - rule.rest(n)) if n > light or n >= rule.least(light + 1) else none
+
+
+def pair_keys(members: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all pairs of members, with the lesser rank of each."""
+    a, b = np.triu_indices(len(members), 1)
+    low, high = np.minimum(members[a], members[b]), np.maximum(members[a], members[b])
+    return mixed(low * _FACTOR + mixed(high)), np.minimum(rank[a], rank[b])
+
+
+def keys_of(members: np.ndarray, ranks: np.ndarray, light: int, rule: Rule) -> dict[int, np.ndarray]:
+    """The keys of a set, by side."""
+    rank, order = order_of(members, ranks)
+    pairs, lists = prefixes_of(order, light, rule)
+    return {side: keys for side, keys in ((0, pair_keys(members[pairs], rank[pairs])[0]), (1, members[lists])) if len(keys)}
 
 
 def _describe(docs: DataFrame, words: int, cells_log2: int) -> DataFrame:
@@ -171,9 +184,9 @@ def _describe(docs: DataFrame, words: int, cells_log2: int) -> DataFrame:
                 np.add.at(cells, np.concatenate(places), np.uint32(1))
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-        parts = cells.view(np.uint8).reshape(-1, BLOCK_BYTES)
-        for k in np.flatnonzero(parts.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], names=names)
+        blocks, packed = block_rows(cells)
+        n = len(blocks)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), blocks, packed], names=names)
 
     return map_arrow(docs, run, "id long, n int, node long, block int, cells binary")
 
@@ -199,13 +212,13 @@ _KEYED = "key long, part int, node long, n int, id long"
 _NAMES = [c.split()[0] for c in _KEYED.split(", ")]
 
 
-def _parts(keys: np.ndarray, ranks: np.ndarray, node: int) -> np.ndarray:
-    """The part of each row of a node, from the sketch's counts."""
+def _parts(keys: np.ndarray, ranks: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The part of each row, from the sketch's counts."""
     parts = np.full(len(keys), -1, np.int32)
     long = np.flatnonzero(ranks > 4 * math.log2(1 + PART))
     if len(long):
         ways = np.minimum(np.ceil(np.exp2((ranks[long].astype(float) + 1) / 4) / PART), 30_000).astype(np.uint64)
-        own = mixed(keys[long] ^ np.uint64(node % (1 << 64))) % ways
+        own = mixed(keys[long] ^ nodes[long].view(np.uint64)) % ways
         parts[long] = ((ways << np.uint64(16)) | own).astype(np.int32)
     return parts
 
@@ -213,9 +226,39 @@ def _parts(keys: np.ndarray, ranks: np.ndarray, node: int) -> np.ndarray:
 def _emit(docs: DataFrame, words: int, sent, light: int, rule: Rule) -> DataFrame:
     """A row for every key of every set. The low bit of a key tells its side. Copies that one task meets again (of the last many) are left out."""
 
+    def rows_of(ids, nodes, sets):
+        sizes = np.array([*map(len, sets)], np.int64)
+        members = np.concatenate(sets)
+        rank, order = order_of(members, sent.value)
+        ends = np.cumsum(sizes)
+        places, owners = [], []  # of keys in lists
+        keys, ranks, keyed = [], [], []  # of pairs
+        for k, (low, high) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
+            pairs, lists = prefixes_of(order[low:high], light, rule)
+            if len(lists):
+                places.append(lists + low)
+                owners.append((k, len(lists)))
+            if len(pairs):
+                key, least = pair_keys(members[low:high][pairs], rank[low:high][pairs])
+                keys.append(key & ~_ONE)
+                ranks.append(least)
+                keyed.append((k, len(key)))
+        if places:
+            at = np.concatenate(places)
+            keys.append(members[at] | _ONE)
+            ranks.append(rank[at])
+        if not keys:
+            return
+        owner = np.repeat(*np.array([*keyed, *owners], np.int64).T)
+        key, rank = np.concatenate(keys), np.concatenate(ranks)
+        node = np.array(nodes, np.int64)[owner]
+        columns = [key.view(np.int64), _parts(key, rank, node), node, sizes[owner].astype(np.int32), np.array(ids, np.int64)[owner]]
+        for start in range(0, len(key), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[start : start + 200_000]) for c in columns], names=_NAMES)
+
     def run(batches):
         seen: OrderedDict = OrderedDict()
-        rows = _Rows(_NAMES)
+        ids, nodes, sets, size = [], [], [], 0
         for batch in batches:
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words)):
                 if len(s) < 2:
@@ -226,12 +269,15 @@ def _emit(docs: DataFrame, words: int, sent, light: int, rule: Rule) -> DataFram
                 seen[node] = None
                 if len(seen) > SEEN:
                     seen.popitem(last=False)
-                for keys, ranks, side in keys_of(s, sent.value, light, rule):
-                    m = len(keys)
-                    sided = ((keys & ~_ONE) | np.uint64(side)).view(np.int64)
-                    rows.add(sided, _parts(keys, ranks, node), np.full(m, node, np.int64), np.full(m, len(s), np.int32), np.full(m, doc, np.int64))
-                    yield from rows.flush()
-        yield from rows.flush(True)
+                ids.append(doc)
+                nodes.append(node)
+                sets.append(s)
+                size += len(s)
+                if size > 500_000:
+                    yield from rows_of(ids, nodes, sets)
+                    ids, nodes, sets, size = [], [], [], 0
+        if sets:
+            yield from rows_of(ids, nodes, sets)
 
     return map_arrow(docs, run, _KEYED)
 
@@ -240,34 +286,51 @@ def _columns(batch) -> list[np.ndarray]:
     return [c.to_numpy() for c in batch.columns]
 
 
+def _groups(batches, place: int):
+    """Columns of sorted batches, cut so that no value of the column at ``place`` goes over two of them."""
+    held: list = []  # rows of the last value so far
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data = _columns(batch)
+        if held and data[place][-1] == held[0][place][0]:
+            held.append(data)
+            continue
+        data = [np.concatenate(c) for c in zip(*held, data)]
+        start = int(np.searchsorted(data[place], data[place][-1]))
+        held = [[c[start:] for c in data]]
+        if start:
+            yield [c[:start] for c in data]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def _by_key(rows: DataFrame) -> DataFrame:
     """One row for each node under a key, and none where no other node has the key, from one pass over sorted partitions. In a list of parts all stay."""
 
+    def shared(key, part):
+        same = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
+        out = part >= 0
+        out[1:] |= same
+        out[:-1] |= same
+        return out
+
     def run(batches):
-        last, known = None, False  # the last row so far, and whether it is known to be shared
-        for batch in batches:
-            if not batch.num_rows:
+        for data in _groups(batches, 0):
+            same = data[0][1:] == data[0][:-1]
+            some = data[1] >= 0
+            some[1:] |= same
+            some[:-1] |= same
+            key, part, node, _, ids = data = [c[some] for c in data]  # few have a key in common
+            if not len(key):
                 continue
-            data = _columns(batch)
-            if last is not None:
-                data = [np.concatenate(x) for x in zip(last, data)]
-            key, part, node = data[:3]
-            same = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
-            fresh = np.append(True, ~(same & (node[1:] == node[:-1])))
-            data = [c[fresh] for c in data]
-            key, part = data[:2]
-            same = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
-            shared = part >= 0
-            shared[1:] |= same
-            shared[:-1] |= same
-            shared[0] |= known
-            last, known = [c[-1:] for c in data], bool(shared[-1])
-            shared[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in data], names=_NAMES)
-        if known:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=_NAMES)
-
-    return map_arrow(rows.repartition("key", "part").sortWithinPartitions("key", "part", "node", "id"), run, _KEYED)
+            order = np.lexsort((ids, node, part, key))
+            key, part, node = data[0][order], data[1][order], data[2][order]
+            fresh = np.append(True, (node[1:] != node[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+            order = order[fresh][shared(key[fresh], part[fresh])]
+            yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in data], names=_NAMES)
+
+    return map_arrow(rows.repartition("key", "part").sortWithinPartitions("key"), run, _KEYED)
 
 
 def _by_node(rows: DataFrame) -> DataFrame:
@@ -282,21 +345,7 @@ def _by_node(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in data], names=_NAMES)
 
     def run(batches):
-        open_rows: list = []  # rows of the last node so far
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            data = _columns(batch)
-            if open_rows and data[2][-1] == open_rows[0][2][0]:
-                open_rows.append(data)
-                continue
-            data = [np.concatenate(c) for c in zip(*open_rows, data)]
-            start = int(np.searchsorted(data[2], data[2][-1]))
-            open_rows = [[c[start:] for c in data]]
-            if start:
-                yield enough([c[:start] for c in data])
-        if open_rows:
-            yield enough([np.concatenate(c) for c in zip(*open_rows)])
+        yield from map(enough, _groups(batches, 2))
 
     return map_arrow(rows.repartition("node").sortWithinPartitions("node"), run, _KEYED)
 
@@ -313,9 +362,7 @@ def _sets(docs: DataFrame, rows: DataFrame, words: int, bits_log2: int) -> DataF
         for batch in batches:
             at = place(np.unique(batch.column(0).to_numpy()))
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        parts = bits.reshape(-1, BLOCK_BYTES)
-        for k in np.flatnonzero(parts.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], names=["block", "cells"])
+        yield pa.RecordBatch.from_arrays([*block_rows(bits)], names=["block", "cells"])
 
     bits = reduce_blocks(map_arrow(rows.select("id"), mark, "block int, cells binary"), np.bitwise_or, "u1", 1 << (bits_log2 - 3))
     sent = docs.sparkSession.sparkContext.broadcast(bits)
@@ -423,79 +470,61 @@ def _scanned(rows: DataFrame, stars: DataFrame, split: bool, rule: Rule) -> Data
     names = ["node", "side", "n", "entries", "sizes"]
 
     def scan(data):
-        """Probes of one list, each with its entries."""
-        key, a, b, own, node, n, comp, weight = data
-        order = np.lexsort((comp, weight))
-        own, node, n, comp, weight = (c[order] for c in (own, node, n, comp, weight))
-        n = n.astype(np.int64)
-        fresh = np.append(True, (comp[1:] != comp[:-1]))
-        first = np.flatnonzero(fresh)
-        beyond = np.append(first[1:], len(comp))[np.cumsum(fresh) - 1]
-        probes, entries = [], []
-        for k in range(int(first[-1])):
-            low = beyond[k]
-            good = rule.alike(n[low:], n[k])
-            if a[0] != b[0]:
-                good &= own[low:] != own[k]
-            at = low + np.flatnonzero(good)
-            if len(at):
-                probes.append(k)
-                entries.append(at)
-            if len(entries) == 1000 or sum(map(len, entries[-1:])) > 100_000:
-                yield batch_of(key[0], probes, entries, node, n)
-                probes, entries = [], []
-        if probes:
-            yield batch_of(key[0], probes, entries, node, n)
-
-    def batch_of(key, probes, entries, node, n):
-        ends = pa.array(np.cumsum([0, *map(len, entries)]), pa.int32())
-        flat = np.concatenate(entries)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(node[probes]),
-                pa.array(np.full(len(probes), key & 1, np.int32)),
-                pa.array(n[probes]),
-                pa.ListArray.from_arrays(ends, pa.array(node[flat])),
-                pa.ListArray.from_arrays(ends, pa.array(n[flat])),
-            ],
-            names=names,
-        )
+        """Probes of whole lists, each with its entries."""
+        key, a, b = data[:3]
+        fresh = np.append(True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        starts = np.flatnonzero(fresh)
+        number = np.cumsum(fresh) - 1
+        open_lists = np.minimum.reduceat(data[6], starts) != np.maximum.reduceat(data[6], starts)
+        data = [c[open_lists[number]] for c in data]
+        number = number[open_lists[number]]
+        if not len(number):
+            return
+        order = np.lexsort((data[6], data[7], number))
+        key, a, b, own, node, n, comp, _ = (c[order] for c in data)
+        number, n = number[order], n.astype(np.int64)
+        lists = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+        ends = np.append(lists[1:], len(key))[np.searchsorted(lists, np.arange(len(key)), "right") - 1]
+        groups = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (comp[1:] != comp[:-1])))
+        beyond = np.append(groups[1:], len(key))[np.searchsorted(groups, np.arange(len(key)), "right") - 1]
+        sizes = ends - beyond  # entries of greater components
+        probes = np.flatnonzero(sizes)
+        total = np.cumsum(sizes[probes])
+        low = 0
+        while low < len(probes):
+            high = max(low + 1, int(np.searchsorted(total, total[low] + 500_000)))
+            some = probes[low:high]
+            owner = np.repeat(np.arange(len(some)), sizes[some])
+            step = np.arange(len(owner)) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some])
+            entry = beyond[some][owner] + step
+            probe = some[owner]
+            good = rule.alike(n[entry], n[probe]) & ((a[probe] == b[probe]) | (own[entry] != own[probe]))
+            owner, entry = owner[good], entry[good]
+            met, counts = np.unique(owner, return_counts=True)
+            if len(met):
+                some = some[met]
+                cuts = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(node[some]),
+                        pa.array((key[some] & 1).astype(np.int32)),
+                        pa.array(n[some]),
+                        pa.ListArray.from_arrays(cuts, pa.array(node[entry])),
+                        pa.ListArray.from_arrays(cuts, pa.array(n[entry])),
+                    ],
+                    names=names,
+                )
+            low = high
 
     def lists(batches):
-        open_rows: list = []
-
-        def close():
-            data = [np.concatenate(c) for c in zip(*open_rows)]
-            if len(data[0]) > 1 and (data[6] != data[6][0]).any():
+        for data in _groups(batches, 0):
+            if len(data[0]) > 1:
+                if (data[1] != data[2]).any():
+                    order = np.lexsort((data[2], data[1], data[0]))
+                    data = [c[order] for c in data]
                 yield from scan(data)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            data = _columns(batch)
-            key, a, b = data[:3]
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
-            if open_rows and any(open_rows[0][k][0] != data[k][0] for k in range(3)):
-                yield from close()
-                open_rows = []
-            # only lists of several components are looked at one by one
-            comp = data[6]
-            ends = np.append(cuts, len(key))
-            starts = np.append(0, cuts)
-            lows, highs = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
-            for k, (low, high) in enumerate(zip(starts.tolist(), ends.tolist())):
-                if k == 0 and len(starts) > 1:
-                    open_rows.append([c[low:high] for c in data])
-                    yield from close()
-                    open_rows = []
-                elif k == len(starts) - 1:
-                    open_rows.append([c[low:high] for c in data])
-                elif lows[k] != highs[k]:
-                    yield from scan([c[low:high] for c in data])
-        if open_rows:
-            yield from close()
-
-    met = map_arrow(whole.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b"), lists, "node long, side int, n long, entries array<long>, sizes array<long>")
+    met = map_arrow(whole.repartition("key", "a", "b").sortWithinPartitions("key"), lists, "node long, side int, n long, entries array<long>, sizes array<long>")
 
     def count(batches):
         now, held, size = None, [], 0  # the set, and what it met: nodes, sizes, times

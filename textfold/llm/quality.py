@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_batches, map_arrow, reduce_blocks
+from .common import block_rows, fold_batches, map_arrow, reduce_blocks
 from .forced import FragmentMemo
 
 BUCKETS, SHAPES, WIDTH, SIGNS = 1 << 14, 1 << 10, 32, 4
@@ -119,8 +119,7 @@ def learn_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
                     pending, size = [], 0
         if pending:
             add()
-        parts = total.view(np.uint8).reshape(-1, 1 << 16)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "cells"])
+        yield pa.RecordBatch.from_arrays([*block_rows(total)], names=["block", "cells"])
 
     blocks = map_arrow(df.select(text_col), run, "block int, cells binary")
     sums = reduce_blocks(blocks, np.add, "i8", BUCKETS * WIDTH * 8).reshape(BUCKETS, WIDTH).astype(np.float64)
