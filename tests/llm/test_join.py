@@ -136,7 +136,8 @@ def test_boundary_follows_the_cost():
 
 def test_components_of_links(spark):
     pairs = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (90, 95), (100, 90)]
-    pairs += [(1000 + k, 1500) for k in range(300) if k != 500]  # a hub
+    pairs += [(1000 + k, 1500) for k in range(300)]  # a hub
+    pairs += [(5000 + a, 5000 + b) for a in range(12) for b in range(a)]  # all linked
     r = random.Random(12)
     path = r.sample(range(2000, 3000), 200)
     pairs += list(zip(path, path[1:]))
@@ -145,7 +146,7 @@ def test_components_of_links(spark):
     got = {r["id"]: r["comp"] for r in found}
     assert len(got) == len(found)
     hub = {1000 + k: 1000 for k in range(300)} | {1500: 1000}
-    assert got == {**{k: 0 for k in range(41)}, 90: 90, 95: 90, 100: 90, **hub, **{k: min(path) for k in path}}
+    assert got == {**{k: 0 for k in range(41)}, 90: 90, 95: 90, 100: 90, **hub, **{5000 + k: 5000 for k in range(12)}, **{k: min(path) for k in path}}
     assert components(spark.createDataFrame([], "x long, y long"), scratch).count() == 0
 
 

@@ -36,5 +36,5 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         stars = scratch.settle(wide, "stars")
         if _both(stars).groupBy("x").agg(F.min("y").alias("low"), F.max("y").alias("high")).where("low < x AND low <> high").isEmpty():
             break
-    roots = stars.select("y").distinct().select(F.col("y").alias("id"), F.col("y").alias("comp"))
-    return stars.toDF("id", "comp").union(roots)
+    # a leaf that several nodes handed over stands more than once, always with its root
+    return stars.union(stars.select("y", "y")).toDF("id", "comp").groupBy("id").agg(F.min("comp").alias("comp"))
