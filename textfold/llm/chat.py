@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import map_arrow
+from .common import arrow_schema, map_arrow
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET = 2048
@@ -142,20 +142,12 @@ def _schema(kind: str) -> str:
     return f"conv_id {kind}, window long, text string, loss array<int>, n_context int, n_turns int, n_tokens long, over_budget boolean"
 
 
-def _batches(rows: Iterator[dict], names: list[str], most: int = 500) -> Iterator[pa.RecordBatch]:
-    kinds = {"loss": pa.list_(pa.int32()), "n_context": pa.int32(), "over_budget": pa.bool_()}
+def _batches(rows: Iterator[dict], schema: pa.Schema, most: int = 500) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
     size = 0
 
     def flush():
-        arrays = []
-        for n in names:
-            values = [r[n] for r in held]
-            kind = kinds.get(n)
-            if n == "n_turns" and "window" in names:
-                kind = pa.int32()
-            arrays.append(pa.array(values, kind) if kind else pa.array(values))
-        return pa.RecordBatch.from_arrays(arrays, names=names)
+        return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in held], f.type) for f in schema], schema=schema)
 
     for r in rows:
         held.append(r)
@@ -187,7 +179,8 @@ def format_windows(
         F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text")
     )
     rows = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
-    names = ["conv_id", "window", "text", "loss", "n_context", "n_turns", "n_tokens", "over_budget"]
+    schema = _schema(kind)
+    typed = arrow_schema(df.sparkSession, schema)
 
     def run(batches):
         encoder = bpe.load(vocabulary)
@@ -205,9 +198,9 @@ def format_windows(
             if windows is not None:
                 yield windows.close()
 
-        yield from _batches(made(), names)
+        yield from _batches(made(), typed)
 
-    return map_arrow(rows, run, _schema(kind))
+    return map_arrow(rows, run, schema)
 
 
 def read_back(windows: DataFrame, in_order: bool = False) -> DataFrame:
@@ -219,7 +212,8 @@ def read_back(windows: DataFrame, in_order: bool = False) -> DataFrame:
     rows = windows.select("conv_id", "window", "text", "loss", "n_context")
     if not in_order:
         rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
+    schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
+    typed = arrow_schema(windows.sparkSession, schema)
 
     def run(batches):
         def made():
@@ -243,8 +237,8 @@ def read_back(windows: DataFrame, in_order: bool = False) -> DataFrame:
                 yield done(now)
 
         def done(now):
-            return dict(zip(names, [now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5], now[6]]))
+            return dict(zip(typed.names, [now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5], now[6]]))
 
-        yield from _batches(made(), names, 2000)
+        yield from _batches(made(), typed, 2000)
 
-    return map_arrow(rows, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    return map_arrow(rows, run, schema)

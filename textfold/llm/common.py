@@ -81,13 +81,24 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that none of the columns has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold_batches(df: DataFrame, make: Callable[[list[list]], list[list]], schema: str) -> DataFrame:
     """Apply ``make`` (lists of column values in, lists of column values out) to runs of rows, by Arrow.
 
     Runs are bounded in rows and in bytes, so that a few very long texts do not
     make one large result.
     """
-    out_type = _arrow_schema(df.sparkSession, schema)
+    out_type = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,8 +110,10 @@ def fold_batches(df: DataFrame, make: Callable[[list[list]], list[list]], schema
 
 
 def append_batches(df: DataFrame, inputs: list[str], make: Callable[[list[list]], list[list]], added: str) -> DataFrame:
-    """``df`` with columns added that ``make`` gives for lists of the values of ``inputs``. The other columns pass by as they are."""
-    new = _arrow_schema(df.sparkSession, added)
+    """``df`` with columns added that ``make`` gives for lists of the values of ``inputs``. The other columns pass by as they are; an added name that one of them has is an error."""
+    new = arrow_schema(df.sparkSession, added)
+    if clash := {c.lower() for c in df.columns} & {c.lower() for c in new.names}:
+        raise ValueError(f"columns {sorted(clash)} are there already; give other names")
     places = [df.columns.index(c) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +135,7 @@ def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, step)
 
 
-def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(ddl))
 
 

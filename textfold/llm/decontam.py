@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_batches, map_arrow, settle
+from .common import append_batches, map_arrow, settle, unused
 
 WINDOW = 10
 #: Most bytes of item texts that are held in memory and broadcast at once.
@@ -151,9 +151,11 @@ def annotate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    names: tuple[str, str, str] = ("words", "runs", "items"),
 ) -> DataFrame:
-    """``docs`` with ``__words`` (their number), ``__runs`` (first word and end of each run of hit words) and ``__items`` (ids of the items found) added."""
+    """``docs`` with the number of words, the first word and end of each run of hit words, and the ids of the items found added, under ``names`` (which ``docs`` doesn't have)."""
     state = docs
+    new = unused([*docs.columns, *names], *names)
     for block, last in _blocks(items, item_col, item_text_col, block_bytes, size):
         block.choose(_count_shingles(docs, text_col, block) if block.windows else {})
         sent = docs.sparkSession.sparkContext.broadcast(block)
@@ -169,9 +171,9 @@ def annotate(
                 items.append(sorted(found | set(old_items)))
             return [words, runs, items]
 
-        before = [text_col] if state is docs else [text_col, "__runs", "__items"]
-        state = append_batches(state, before, look, "__new_words long, __new_runs array<int>, __new_items array<string>")
-        state = state.select(*docs.columns, *[F.col(f"__new_{c}").alias(f"__{c}") for c in ("words", "runs", "items")])
+        before = [text_col] if state is docs else [text_col, *names[1:]]
+        state = append_batches(state, before, look, f"`{new[0]}` long, `{new[1]}` array<int>, `{new[2]}` array<string>")
+        state = state.select(*docs.columns, *[F.col(n).alias(c) for n, c in zip(new, names)])
         if not last:
             state = settle(state, "decontam")
     return state
@@ -179,15 +181,16 @@ def annotate(
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``id_col, n_words, n_hit, n_items, items_sha256, contaminated`` and ``hit_runs`` of every document; options as of :func:`annotate`."""
-    found = annotate(docs.select(id_col, text_col), items, size, text_col, **options)
+    names = words, runs, items_found = unused([id_col, text_col], "words", "runs", "items")
+    found = annotate(docs.select(id_col, text_col), items, size, text_col, names=tuple(names), **options)
 
-    ends = F.transform(F.col("__runs"), lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+    ends = F.transform(F.col(runs), lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
     return found.select(
         id_col,
-        F.col("__words").alias("n_words"),
+        F.col(words).alias("n_words"),
         F.aggregate(ends, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("__runs") > 0).alias("contaminated"),
-        F.col("__runs").alias("hit_runs"),
+        F.size(items_found).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items_found, ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size(runs) > 0).alias("contaminated"),
+        F.col(runs).alias("hit_runs"),
     )

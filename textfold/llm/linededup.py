@@ -15,7 +15,7 @@ Defined results: a null text stays null, with 0 lines; a text of fewer lines tha
 unchanged; windows of blank lines only are no windows; a text whose lines all go becomes empty,
 its row stays; repeated rows (same id and text) stand at the same place and are treated alike;
 null ids sort first; an empty table gives an empty table; other columns, whatever their names,
-are kept.
+are kept (but those that have the names of the counts).
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 WINDOW = 3
 
 
@@ -48,29 +50,30 @@ def later_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return windows.join(repeated, "key").where(F.struct("id", "pos", "version") > F.col("first")).select("id", "version", "pos")
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """``df`` with its texts rewritten, and ``n_lines`` and ``n_removed`` added (replaced, if there)."""
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, counts: tuple[str, str] | None = ("n_lines", "n_removed")) -> DataFrame:
+    """``df`` with its texts rewritten, and two counts added under the names ``counts`` (columns of these names are replaced; None adds nothing)."""
     later = later_windows(df, id_col, text_col, size)
+    id_name, version_name, cover_name = unused(df.columns, "covered_id", "covered_version", "covered")
     covered = (
         later.groupBy("id", "version")
         .agg(F.collect_set("pos").alias("starts"))
         .select(
-            F.col("id").alias("__cov_id"),
-            F.col("version").alias("__cov_version"),
-            F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (size - 1))))).alias("__cov"),
+            F.col("id").alias(id_name),
+            F.col("version").alias(version_name),
+            F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (size - 1))))).alias(cover_name),
         )
     )
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__cov"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cover_name))
     rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    joined = df.join(covered, F.col(id_col).eqNullSafe(F.col("__cov_id")) & (F.xxhash64(text_col) == F.col("__cov_version")), "left")
-    counts = {
-        "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "n_removed": F.coalesce(F.size("__cov"), F.lit(0)).cast("long"),
-    }
-    text = F.when(F.col("__cov").isNull(), F.col(text_col)).otherwise(rest)
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in df.columns if c not in counts]
-    return joined.select(*columns, *[c.alias(n) for n, c in counts.items()])
+    joined = df.join(covered, F.col(id_col).eqNullSafe(F.col(id_name)) & (F.xxhash64(text_col) == F.col(version_name)), "left")
+    text = F.when(F.col(cover_name).isNull(), F.col(text_col)).otherwise(rest)
+    replaced = {c.lower() for c in counts or ()}
+    columns = [text.alias(c) if c == text_col else F.col(c) for c in df.columns if c.lower() not in replaced]
+    if counts:
+        columns.append(F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(counts[0]))
+        columns.append(F.coalesce(F.size(cover_name), F.lit(0)).cast("long").alias(counts[1]))
+    return joined.select(*columns)
 
 
 SQL = """
