@@ -105,10 +105,19 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None], memo: Memo | None = None) -> list[tuple[str, float]]:
         """Language of each text, and the share of belief it gets."""
-        words = [words_of(t) if t else [] for t in texts]
         if not self.langs:
             return [(UNKNOWN, 0.0)] * len(texts)
-        memo = memo or Memo(self)
+        memo, out, some, size = memo or Memo(self), [], [], 0
+        for text in texts:  # by runs, so that few words are held beside the texts
+            some.append(text)
+            size += len(text or "")
+            if size > 500_000:
+                out += self._predict(some, memo)
+                some, size = [], 0
+        return out + self._predict(some, memo)
+
+    def _predict(self, texts: list[str | None], memo: Memo) -> list[tuple[str, float]]:
+        words = [words_of(t) if t else [] for t in texts]
         memo.learn(words)
         out = []
         for own in words:
