@@ -168,12 +168,12 @@ kept AS (
     + " UNION ALL ".join(
         f"SELECT {n} AS size, sha256(b) AS content_sha, count(*) AS n FROM (SELECT string_agg(line, '') OVER w AS b, count(*) OVER w AS c FROM kept "
         f"WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)) WHERE c = {n} GROUP BY b HAVING count(*) > 1"
-        for n in range(2, 7)
+        for n in range(2, 11)
     )
 )
 def line_block_candidates(spark, sf_dir):
-    """Blocks of two to six lines, with their breaks, that repeat."""
-    return repeats.block_counts(corpus(spark, sf_dir), 2, 6).select("size", F.sha2("content", 256).alias("content_sha"), "n")
+    """Blocks of two to ten lines, with their breaks, that repeat."""
+    return repeats.block_counts(corpus(spark, sf_dir), 2, 10).select("size", F.sha2("content", 256).alias("content_sha"), "n")
 
 
 @query(
@@ -230,18 +230,62 @@ SELECT md5(g) AS gram_md5, count(*) AS n FROM grams GROUP BY g HAVING count(*) >
 )
 def gram_repeats(spark, sf_dir):
     """Runs of 40 characters that repeat."""
-    grams = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("(?s)(?=(.{40}))"), F.lit(1))).alias("g"))
-    return grams.groupBy(F.md5("g").alias("gram_md5")).agg(F.count("*").alias("n")).where("n >= 2")
+    return repeats.gram_counts(corpus(spark, sf_dir), 40).select(F.md5("content").alias("gram_md5"), "n")
+
+
+def _sql_prefix(name: str, a: str, b: str, source: str) -> str:
+    """SQL that adds the length of the longest common prefix (below 2048) of two strings, found by halving."""
+    out = f"SELECT *, 0 AS {name} FROM {source}"
+    for step in (1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1):
+        longer = f"{name} + {step} <= least(length({a}), length({b})) AND left({a}, {name} + {step}) = left({b}, {name} + {step})"
+        out = f"SELECT * REPLACE (CASE WHEN {longer} THEN {name} + {step} ELSE {name} END AS {name}) FROM ({out})"
+    return out
+
+
+def _sql_closure(size: int, longest: int) -> str:
+    """CTEs of the repeated substrings: runs that repeat, but for those that always follow one other of the same count, with what all their places share around them."""
+    side = longest - size
+    return f"""
+grams AS (SELECT doc_id, k, substring(text, k, {size}) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - {size - 2})) AS k FROM documents WHERE length(text) >= {size})),
+led AS (SELECT doc_id, k, g, lag(g) OVER (PARTITION BY doc_id ORDER BY k) AS b FROM grams),
+runs AS (SELECT g, count(*) AS n, min(b) AS b0, max(b) AS b1, count(b) AS nb FROM led GROUP BY g HAVING count(*) >= 2),
+leaders AS (SELECT x.g FROM runs x LEFT JOIN runs y ON x.b0 = y.g WHERE NOT (x.nb = x.n AND x.b0 = x.b1 AND coalesce(y.n, -1) = x.n)),
+around AS (
+  SELECT r.g, r.doc_id, r.k, substring(d.text, r.k + {size}, {side}) AS rt, reverse(substring(d.text, greatest(1, r.k - {side}), least(r.k - 1, {side}))) AS lf
+  FROM leaders l JOIN grams r ON l.g = r.g JOIN documents d ON r.doc_id = d.doc_id
+),
+ends AS (SELECT g, min(rt) AS r0, max(rt) AS r1, min(lf) AS l0, max(lf) AS l1 FROM around GROUP BY g),
+shared AS (SELECT g, l, CASE WHEN l + r + {size} > {longest} THEN greatest(0, {side} - l) ELSE r END AS r FROM ({_sql_prefix("l", "l0", "l1", "(" + _sql_prefix("r", "r0", "r1", "ends") + ")")})),
+found AS (SELECT DISTINCT substring(d.text, a.k - s.l, s.l + {size} + s.r) AS content, a.doc_id, a.k - s.l AS k FROM around a JOIN shared s ON a.g = s.g JOIN documents d ON a.doc_id = d.doc_id)
+"""
 
 
-@query()
+@query(f"WITH {_sql_closure(40, 2000)} SELECT sha256(content) AS id_hash, length(content) AS chars, count(*) AS n FROM found GROUP BY content")
 def gram_closure(spark, sf_dir):
     """Repeated substrings of 40 to 2000 characters, extended as far as their occurrences agree."""
     found = repeats.gram_candidates(corpus(spark, sf_dir), 40, 2, 2000)
-    return found.groupBy(F.sha2("content", 256).alias("id_hash"), F.length("content").alias("chars")).agg(F.count("*").alias("n"))
+    return found.groupBy(F.sha2("content", 256).alias("id_hash"), F.length("content").cast("long").alias("chars")).agg(F.count("*").alias("n"))
 
 
-@query()
+def _sql_blocks(least: int, most: int) -> str:
+    return " UNION ALL ".join(
+        f"SELECT b AS content, count(*) AS n FROM (SELECT string_agg(line, '') OVER w AS b, count(*) OVER w AS c FROM kept "
+        f"WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)) WHERE c = {n} GROUP BY b HAVING count(*) > 1"
+        for n in range(least, most + 1)
+    )
+
+
+@query(
+    f"""
+WITH {_WORDS}, {_KEPT_LINES}, {_sql_closure(40, 2000)},
+pool AS (
+  SELECT word AS content, 0 AS rank, n FROM counted
+  UNION ALL SELECT content, 1, count(*) FROM found GROUP BY content
+  UNION ALL SELECT content, 2, n FROM ({_sql_blocks(3, 15)})
+)
+SELECT sha256(content) AS id_hash, ['word', 'substring', 'block'][rank + 1] AS ctype, n FROM pool QUALIFY row_number() OVER (PARTITION BY content ORDER BY rank) = 1
+"""
+)
 def candidate_pool(spark, sf_dir):
     """Words, substrings and blocks in one pool, each content once."""
     found = repeats.find_repeats(corpus(spark, sf_dir), PRESETS["conservative"])
@@ -326,18 +370,16 @@ def yaml_canonicalize(spark, sf_dir):
 @query(
     """
 SELECT s_suppkey, '# ' || s_name || chr(10) || chr(10) || '| name | nation | |' || chr(10) || '|:---|---:|---|' || chr(10) || '| ' || s_name || ' | ' || s_nationkey || ' | |' || chr(10) ||
-  '```sh' || chr(10) || '|  ' || s_name || '  |   ' || chr(10) || chr(10) || chr(10) || '```' || chr(10) || 'end' AS text FROM supplier
+  '```sh' || chr(10) || '|  ' || s_name || '  |   ' || chr(10) || chr(10) || chr(10) || '```' || chr(10) || chr(10) || 'end' AS text FROM supplier
 """
 )
 def markdown_canonicalize(spark, sf_dir):
-    """A page for every supplier: a badge, a padded table, and a fence whose inside stays."""
+    """A page for every supplier: a badge, a padded table, a fence whose inside stays, and a line of a lone badge, which becomes blank."""
     page = F.concat(
         F.lit("\n# "), F.col("s_name"), F.lit("[![build](https://img.shields.io/x.svg)](https://example.org)  \n\n\n|   name  | nation |  |\n|  :---  | ---: |---|\n|  "),
         F.col("s_name"), F.lit("   |  "), F.col("s_nationkey"), F.lit("|   |  \n```sh  \n|  "), F.col("s_name"), F.lit("  |   \n\n\n```\n![b](https://codecov.io/a)\nend"),
     )
-    out = canon.canon_markdown(page)
-    # the line of the lone badge becomes blank, and stays as one empty line
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.replace(out, F.lit("```\n\nend"), F.lit("```\nend")).alias("text"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", canon.canon_markdown(page).alias("text"))
 
 
 @query(
@@ -394,7 +436,12 @@ def shown(parser):
 '''
 
 
-@query()
+@query(
+    """
+SELECT p_partkey, array_to_string(['import os', '_b = ' || p_partkey, '', 'def _a(value):', '    a = value + ' || p_partkey, '    if a > 3:', '        raise ValueError(' || chr(39) || 'ERR' || chr(39) || ')', '    return a', '',
+  'def shown(parser):', '    parser.add_argument(' || chr(39) || '--' || lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '-', 'g')) || chr(39) || ')', '    return _a(os.getpid())', ''], chr(10)) AS text FROM part
+"""
+)
 def python_canonicalize(spark, sf_dir):
     """A small module for every part, through all passes."""
     before, after = _SOURCE.split("{name}")
@@ -459,10 +506,22 @@ def mapping_formats(spark, sf_dir):
     return spark.createDataFrame(rows, "format string, payload string, header string")
 
 
-@query()
+@query(
+    f"""
+WITH f AS (
+  SELECT 'positional' AS format, string_agg(n_name, '§' ORDER BY n_nationkey) AS payload, '[MAP:INDEXED sentinel=''§'' seq=''«{{:d}}»'' start=1 count=' || count(*) || ']' AS header FROM nation
+  UNION ALL SELECT 'delimited', string_agg('«' || (n_nationkey + 1) || '»' || chr(10) || n_name, chr(10) || '---§---' || chr(10) ORDER BY n_nationkey), '[MAP:DELIMITED sentinel=''\\n---§---\\n'']' FROM nation
+  UNION ALL SELECT 'kv', string_agg('«' || (n_nationkey + 1) || '»=' || n_name, chr(10) ORDER BY n_nationkey), '[MAP:KV nl=''␤'']' FROM nation
+  UNION ALL SELECT 'json', '{{' || string_agg('"«' || (n_nationkey + 1) || '»":"' || n_name || '"', ',' ORDER BY n_nationkey) || '}}', '[MAP:JSON]' FROM nation
+),
+c AS (SELECT format, CAST(length(payload) AS INTEGER) AS payload_chars, CAST({sql_tokens('payload')} AS INTEGER) AS payload_tokens, CAST({sql_tokens('header')} AS INTEGER) AS protocol_tokens FROM f)
+SELECT format, payload_chars, payload_tokens, protocol_tokens, payload_tokens + protocol_tokens AS total_tokens, true AS exact_match FROM c
+"""
+)
 def mapping_costs(spark, sf_dir):
     """Tokens of the formats, each read back."""
-    rows = codebook.compare_formats(_nations(spark, sf_dir), tokens.heuristic_count)
+    mapping = dict(sorted(_nations(spark, sf_dir).items(), key=lambda kv: codebook.natural_key(kv[0])))
+    rows = codebook.compare_formats(mapping, tokens.heuristic_count)
     return spark.createDataFrame([tuple(r.values()) for r in rows], "format string, payload_chars int, payload_tokens int, protocol_tokens int, total_tokens int, exact_match boolean")
 
 
@@ -472,9 +531,9 @@ def mapping_costs(spark, sf_dir):
 def _word_codebook(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents, the words chosen for replacement with their places, and the documents encoded with them."""
     docs = corpus(spark, sf_dir)
-    found = repeats.word_candidates(docs).withColumn("rank", F.lit(0)).withColumn("id_hash", F.sha2("content", 256))
+    found = repeats.word_candidates(docs).withColumn("ctype", F.lit("word")).withColumn("id_hash", F.sha2("content", 256))
     start = alphabet.choose_style(docs)
-    chosen, _ = select.select_replacements(repeats.first_type(found), docs, start, get_counter(), codebook.get_format(), 2)
+    chosen, _ = select.select_replacements(sinks.settle(found, "words"), docs, start, get_counter(), codebook.get_format(), 2)
     chosen = sinks.settle(chosen, "chosen")
     return docs, chosen, sinks.settle(codec.encode(docs, chosen), "encoded")
 
@@ -490,32 +549,81 @@ def greedy_words(spark, sf_dir):
     return counts
 
 
-@query()
+_GREEDY = f"""
+WITH RECURSIVE documents AS (SELECT conv_id * 10000 + turn AS doc_id, text FROM conversations WHERE text IS NOT NULL), {_WORDS}, {_KEPT_LINES}, {_sql_closure(14, 2000)},
+pieces AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_]+')) AS p, generate_subscripts(regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_]+'), 1) AS k FROM documents),
+placed AS (SELECT doc_id, p, CAST(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS e FROM pieces),
+lines AS (SELECT doc_id, k, line, CAST(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS e FROM kept),
+blocks AS ({" UNION ALL ".join(
+    f"SELECT * FROM (SELECT doc_id, string_agg(line, '') OVER w AS content, e - length(line) AS s, max(e) OVER w AS e, count(*) OVER w AS c FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)) WHERE c = {n}"
+    for n in range(2, 11))}),
+occ AS (
+  SELECT p AS content, 0 AS rank, doc_id, e - length(p) AS s, e FROM placed WHERE p IN (SELECT word FROM counted)
+  UNION ALL SELECT content, 1, doc_id, k - 1, k - 1 + length(content) FROM found
+  UNION ALL SELECT content, 2, doc_id, s, e FROM blocks WHERE content IN (SELECT content FROM blocks GROUP BY content HAVING count(*) > 1)
+),
+firsts AS (SELECT content, min(rank) AS rank FROM occ GROUP BY content),
+cands AS (SELECT content, rank, count(*) AS n, list({{'d': doc_id, 's': s, 'e': e}} ORDER BY doc_id, s) AS places FROM occ JOIN firsts USING (content, rank) GROUP BY content, rank HAVING count(*) >= 2),
+worth AS (SELECT content, rank, places, n, t, n * (t - 1) - (t + 1) AS gain FROM (SELECT *, {sql_tokens('content')} AS t FROM cands) WHERE t > 1),
+steps AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY gain DESC, n DESC, length(content) DESC, sha256(content)) AS step FROM worth WHERE gain >= 2),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS number, CAST([] AS STRUCT(d BIGINT, s BIGINT, e BIGINT)[]) AS taken, CAST(0 AS BIGINT) AS n
+  UNION ALL
+  SELECT step, CASE WHEN good THEN number + 1 ELSE number END, CASE WHEN good THEN list_concat(taken, own) ELSE taken END, CASE WHEN good THEN CAST(len(own) AS BIGINT) ELSE 0 END
+  FROM (
+    SELECT step, number, taken, own, len(own) >= 2 AND len(own) * (t - 1) - (t + 1) >= 2 AS good FROM (
+      SELECT step, number, taken, t, CASE WHEN len(open) > 0 THEN list_reduce(list_transform(open, lambda x: [x]), lambda a, x: CASE WHEN a[-1].d = x[1].d AND a[-1].e > x[1].s THEN a ELSE list_concat(a, x) END) ELSE open END AS own
+      FROM (
+        SELECT s.step, w.number, w.taken, s.t,
+          list_filter(CAST(s.places AS STRUCT(d BIGINT, s BIGINT, e BIGINT)[]), lambda x: len(list_filter(w.taken, lambda y: y.d = x.d AND y.s < x.e AND x.s < y.e)) = 0) AS open
+        FROM walk w JOIN steps s ON s.step = w.step + 1
+      )
+    )
+  )
+)
+SELECT w.number, chr(CAST(19967 + w.number AS INTEGER)) AS placeholder, ['word', 'substring', 'block'][s.rank + 1] AS ctype, sha256(s.content) AS id_hash, w.n FROM walk w JOIN steps s USING (step) WHERE w.n > 0
+"""
+
+
+@query(_GREEDY)
 def greedy_select(spark, sf_dir):
-    """The choice from the whole pool of words, substrings and blocks."""
-    docs = corpus(spark, sf_dir)
-    found = sinks.settle(repeats.find_repeats(docs, PRESETS["conservative"]), "repeats")
-    chosen, _ = select.select_replacements(found, docs, alphabet.choose_style(docs), get_counter(), codebook.get_format(), 15)
-    return chosen.groupBy("number", "placeholder", "ctype", F.sha2("content", 256).alias("id_hash")).agg(F.count("*").alias("n"))
+    """The choice from the whole pool of words, substrings and blocks of all turns of all conversations."""
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select((F.col("conv_id") * 10_000 + F.col("turn")).cast("long").alias("file_ord"), "text")
+    docs = turns.select(F.format_string("%012d.txt", "file_ord").alias("path"), "file_ord", "text")
+    found = sinks.settle(repeats.find_repeats(docs, PRESETS["code-max"]), "repeats")
+    chosen, _ = select.select_replacements(found, docs, alphabet.Alphabet("single_token"), get_counter(), codebook.get_format(), 2)
+    return chosen.groupBy(F.col("number").cast("long").alias("number"), "placeholder", "ctype", "id_hash").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, true AS ok FROM documents")
+@query("SELECT doc_id, sha256(text) AS sha256, -1 AS mismatch_at, length(text) AS n_chars FROM documents WHERE text IS NOT NULL")
 def encode_decode_roundtrip(spark, sf_dir):
     """All documents compacted with words, substrings and blocks, and decoded again with the codebook read from its text."""
     result = compress.compact(corpus(spark, sf_dir), tuning=PRESETS["conservative"])
     mapping = codebook.get_format().load(result.payload, result.header)
     back = codec.decode(result.encoded, mapping).select("path", F.col("file_ord").alias("doc_id"), F.sha2("text", 256).alias("sha256"))
-    proof = codec.verify(result.target, result.encoded, mapping).select("path", "ok")
-    return back.join(proof, "path").select("doc_id", "sha256", "ok")
+    proof = codec.verify(result.target, result.encoded, mapping).select("path", "mismatch_at", F.col("n_chars").cast("long").alias("n_chars"))
+    return back.join(proof, "path").select("doc_id", "sha256", "mismatch_at", "n_chars")
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, length(text) AS total_len, true AS within FROM documents")
+@query(
+    """
+WITH RECURSIVE c AS (
+  SELECT doc_id, text, 0 AS k, CAST(0 AS BIGINT) AS low, CAST(0 AS BIGINT) AS high FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, text, k + 1, high, CASE WHEN high + 1000 >= length(text) THEN length(text)
+    WHEN contains(substring(text, high + 1, 1000), chr(10)) THEN high + 1001 - instr(reverse(substring(text, high + 1, 1000)), chr(10)) ELSE high + 1000 END
+  FROM c WHERE k = 0 OR high < length(text)
+)
+SELECT doc_id, k AS chunk_no, high - low AS chars, sha256(substring(text, low + 1, high - low)) AS sha256, sha256(text) AS whole_sha FROM c WHERE k > 0
+"""
+)
 def chunk_documents(spark, sf_dir):
-    """All documents in chunks of 1000 characters, put together again."""
+    """All documents in chunks of 1000 characters that end at newlines where there are any, and what comes out when they are put together again."""
     docs = corpus(spark, sf_dir)
     cut = chunks.chunk(docs, [], 1000)
-    whole = chunks.reassemble(cut).join(cut.groupBy("path").agg((F.max(F.length("text")) <= 1000).alias("within")), "path")
-    return whole.join(docs.select("path", F.col("file_ord").alias("doc_id")), "path").select("doc_id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("total_len"), "within")
+    whole = chunks.reassemble(cut).select("path", F.sha2("text", 256).alias("whole_sha"))
+    rows = cut.select("path", "chunk_no", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha256")).join(whole, "path")
+    return rows.join(docs.select("path", F.col("file_ord").alias("doc_id")), "path").select("doc_id", "chunk_no", "chars", "sha256", "whole_sha")
 
 
 @query(
@@ -531,16 +639,128 @@ def chunk_manifest(spark, sf_dir):
 @query(
     f"""WITH {_WORDS}, scored AS (SELECT word, n, {sql_tokens('word')} AS t FROM counted), chosen AS (SELECT word FROM scored WHERE t > 1 AND n * (t - 1) - (t + 1) >= 2),
 used AS (SELECT DISTINCT doc_id, w FROM words WHERE w IN (SELECT word FROM chosen))
-SELECT d.doc_id AS i, format('{{:s}}/{{:08d}}.txt', d.lang, d.doc_id) AS path, sha256(d.text) AS sha, count(u.w) AS n_ph
-FROM documents d LEFT JOIN used u ON d.doc_id = u.doc_id GROUP BY d.doc_id, d.lang, d.text"""
+SELECT d.doc_id AS i, format('{{:s}}/{{:s}}/{{:08d}}.txt', d.source, d.lang, d.doc_id) AS path, sha256(d.text) AS sha, count(u.w) AS n_ph
+FROM documents d LEFT JOIN used u ON d.doc_id = u.doc_id GROUP BY d.doc_id, d.source, d.lang, d.text"""
 )
 def manifest_index(spark, sf_dir):
     """Every document with its place, digest, and the number of tokens it uses."""
     docs, chosen, encoded = _word_codebook(spark, sf_dir)
-    listed = docs.select("path", "file_ord", F.sha2("text", 256).alias("sha256"))
-    rows = report.manifest(listed, codec.codebook(encoded, chosen), None)
-    place = docs.select(F.col("file_ord").alias("i"), F.regexp_replace("path", "^[^/]*/", "").alias("path"))
-    return rows.drop("path").join(place, "i").select("i", "path", "sha", F.size("ph").cast("long").alias("n_ph"))
+    listed = docs.select(F.concat(F.lit("corpus/"), F.col("path")).alias("path"), "file_ord", F.sha2("text", 256).alias("sha256"))
+    used = codec.places(encoded).withColumn("path", F.concat(F.lit("corpus/"), F.col("path")))
+    return report.manifest(listed, used, "corpus").select("i", "path", "sha", F.size("ph").cast("long").alias("n_ph"))
+
+
+_CHOSEN = f"""{_WORDS},
+scored AS (SELECT word, n, {sql_tokens('word')} AS t FROM counted),
+chosen AS (SELECT word, n FROM scored WHERE t > 1 AND n * (t - 1) - (t + 1) >= 2)
+"""
+
+
+@query(
+    f"""WITH {_CHOSEN}, used AS (SELECT doc_id, count(*) AS n, sum(length(w) - 1) AS saved FROM words WHERE w IN (SELECT word FROM chosen) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(u.n, 0) AS n_places, CAST(length(d.text) - coalesce(u.saved, 0) AS BIGINT) AS encoded_chars, sha256(d.text) AS decoded_sha
+FROM documents d LEFT JOIN used u ON d.doc_id = u.doc_id WHERE d.text IS NOT NULL"""
+)
+def encode_words(spark, sf_dir):
+    """Every document encoded with one character for each chosen word: places replaced, length after, and what decoding gives."""
+    _, chosen, encoded = _word_codebook(spark, sf_dir)
+    back = codec.decode(encoded, codec.mapping_of(codec.codebook(encoded, chosen))).select("file_ord", F.sha2("text", 256).alias("decoded_sha"))
+    sizes = encoded.select("file_ord", F.size("used").cast("long").alias("n_places"), F.length("text").cast("long").alias("encoded_chars"))
+    return sizes.join(back, "file_ord").withColumnRenamed("file_ord", "doc_id")
+
+
+@query(
+    f"""WITH {_CHOSEN}, ranked AS (SELECT word, row_number() OVER (ORDER BY n * (t - 1) - (t + 1) DESC, n DESC, length(word) DESC, sha256(word)) AS number FROM scored JOIN chosen USING (word, n)),
+used AS (SELECT w AS word, count(*) AS uses FROM words GROUP BY w)
+SELECT 'W:' || number AS id, word AS content, sha256(word) AS sha256, length(word) AS length, uses FROM ranked JOIN used USING (word)"""
+)
+def word_codebook(spark, sf_dir):
+    """The codebook's entries with the number each was chosen as."""
+    _, chosen, encoded = _word_codebook(spark, sf_dir)
+    return codec.codebook(encoded, chosen).select("id", "content", "sha256", F.col("length").cast("long").alias("length"), "uses")
+
+
+@query(
+    f"""WITH {_CHOSEN} SELECT DISTINCT w AS content FROM words WHERE w IN (SELECT word FROM chosen)
+AND doc_id IN (SELECT doc_id FROM documents WHERE ends_with('/' || source || '/' || lang || format('/{{:08d}}.txt', doc_id), '/de/00000002.txt') OR format('{{:08d}}.txt', doc_id) IN ('00000001.txt', '00000003.txt'))"""
+)
+def subset_by_path(spark, sf_dir):
+    """Entries that some files use, named by the end of their paths."""
+    _, chosen, encoded = _word_codebook(spark, sf_dir)
+    book = codec.codebook(encoded, chosen)
+    return codec.subset_for(book, codec.places(encoded), ["./de/00000002.txt", "00000001.txt", " 00000003.txt "]).select("content")
+
+
+@query(
+    f"""WITH {_CHOSEN} SELECT 'orphan' AS kind, count(*) AS n FROM chosen WHERE substring(sha256(word), 1, 1) < '8' AND word NOT IN (SELECT w FROM words WHERE doc_id % 2 = 0)
+UNION ALL SELECT 'missing', count(*) FROM chosen WHERE substring(sha256(word), 1, 1) >= '8' AND word IN (SELECT w FROM words WHERE doc_id % 2 = 0)"""
+)
+def audit_tokens(spark, sf_dir):
+    """Encoded documents of even ids against half of the codebook: entries that none uses, and tokens that no entry declares."""
+    docs, chosen, encoded = _word_codebook(spark, sf_dir)
+    book = codec.codebook(encoded, chosen).where("substring(sha256, 1, 1) < '8'")
+    found = codec.audit(docs.where("file_ord % 2 = 0"), encoded.where("file_ord % 2 = 0"), codec.mapping_of(book))
+    parts = [t.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, t in (("orphan", found["orphans"]), ("missing", found["missing"]))]
+    return parts[0].union(parts[1])
+
+
+@query("SELECT format('{:s}/{:s}/{:08d}.txt', source, lang, doc_id) AS path, row_number() OVER (ORDER BY format('{:s}/{:s}/{:08d}.txt', source, lang, doc_id)) - 1 AS file_ord FROM documents WHERE text IS NOT NULL")
+def file_numbers(spark, sf_dir):
+    """Documents numbered in order of path."""
+    return files.ordered(corpus(spark, sf_dir)).select("path", "file_ord")
+
+
+@query(
+    "WITH s AS (SELECT unnest(['prefix_compact', 'guillemet', 'classic', 'section', 'bracket', 'ascii_compact']) AS style, unnest(['^', '«', '__s', '§', '⟦', '~']) AS a, unnest(['', '»', '__', '§', '⟧', '~']) AS b), "
+    "used AS (SELECT s.style, k FROM s, range(1, 3001) r(k), (SELECT string_agg(text, chr(10)) AS t FROM benchmark) WHERE contains(t, a || k || b)), "
+    "free AS (SELECT style, k, row_number() OVER (PARTITION BY style ORDER BY k) AS number FROM (SELECT s.style, k FROM s, range(1, 3001) r(k)) WHERE (style, k) NOT IN (SELECT (style, k) FROM used)) "
+    "SELECT style, number, a || k || b AS token FROM free JOIN s USING (style) WHERE number <= 1200 "
+    "UNION ALL SELECT 'single_token', number, c FROM (SELECT chr(CAST(19967 + i AS INTEGER)) AS c, row_number() OVER (ORDER BY i) AS number FROM range(1, 2501) r(i) "
+    "WHERE NOT EXISTS (SELECT 1 FROM benchmark WHERE contains(text, chr(CAST(19967 + i AS INTEGER))))) "
+    "UNION ALL SELECT 'single_token', 2500 - (SELECT count(*) FROM range(1, 2501) r(i) WHERE EXISTS (SELECT 1 FROM benchmark WHERE contains(text, chr(CAST(19967 + i AS INTEGER))))) + number, '^' || k FROM free WHERE style = 'prefix_compact' AND number <= 200"
+)
+def placeholder_alphabets(spark, sf_dir):
+    """The first tokens of every style that no benchmark item holds; the single characters go on with numbers."""
+    docs = table(spark, sf_dir, "benchmark").select("text")
+    rows = []
+    for style in alphabet.STYLES:
+        needed = 1200 if style != "single_token" else alphabet.free_alphabet(docs).count() + 200
+        built = alphabet.build_alphabet(docs, alphabet.Alphabet(style), needed)
+        rows += [(style, k + 1, t) for k, t in enumerate(built.tokens)]
+    return spark.createDataFrame(rows, "style string, number long, token string")
+
+
+@query(
+    """
+SELECT 'cjk_start=19968 count=25' AS keys, '[MAP:INDEXED sentinel=''§'' cjk_start=19968 count=' || count(*) || ']' AS header, string_agg(n_name, '§' ORDER BY n_nationkey) AS payload FROM nation
+UNION ALL SELECT 'ranges', '[MAP:INDEXED sentinel=''§'' cjk_ranges=''19968-19972,19978-19997'' count=' || count(*) || ']', string_agg(n_name, '§' ORDER BY n_nationkey) FROM nation
+UNION ALL SELECT 'prefix', '[MAP:INDEXED sentinel=''§'' prefix=''^'' start=1 count=' || count(*) || ']', string_agg(n_name, '§' ORDER BY n_nationkey) FROM nation
+UNION ALL SELECT 'seq', '[MAP:INDEXED sentinel=''§'' seq=''__s{:d}__'' start=1 count=' || count(*) || ']', string_agg(n_name, '§' ORDER BY n_nationkey) FROM nation
+UNION ALL SELECT 'hybrid', '[MAP:INDEXED sentinel=''§'' cjk_start=19968 cjk_count=10 prefix=''^'' p_start=1 p_count=' || (count(*) - 10) || ']', string_agg(n_name, '§' ORDER BY n_nationkey) FROM nation
+UNION ALL SELECT 'listed', '[MAP:INDEXED sentinel=''§'' keys=' || string_agg('k' || chr(CAST(97 + n_nationkey AS INTEGER)), ',' ORDER BY n_nationkey) || ']', string_agg(n_name, '§' ORDER BY n_nationkey) FROM nation
+UNION ALL SELECT 'sentinel', '[MAP:INDEXED sentinel=''¶'' prefix=''^'' start=1 count=' || count(*) || ']', string_agg('§ ' || n_name, '¶' ORDER BY n_nationkey) FROM nation
+"""
+)
+def positional_headers(spark, sf_dir):
+    """The names of nations under keys of every kind that a positional header describes, each read back."""
+    names = [v for _, v in sorted(_nations(spark, sf_dir).items(), key=lambda kv: codebook.natural_key(kv[0]))]
+    kinds = {
+        "cjk_start=19968 count=25": [chr(0x4E00 + k) for k in range(25)],
+        "ranges": [chr(0x4E00 + k + (5 if k > 4 else 0)) for k in range(25)],
+        "prefix": [f"^{k + 1}" for k in range(25)],
+        "seq": [f"__s{k + 1}__" for k in range(25)],
+        "hybrid": [chr(0x4E00 + k) for k in range(10)] + [f"^{k + 1}" for k in range(15)],
+        "listed": [f"k{chr(97 + k)}" for k in range(25)],
+        "sentinel": [f"^{k + 1}" for k in range(25)],
+    }
+    rows = []
+    for kind, keys in kinds.items():
+        mapping = dict(zip(keys, [f"§ {n}" for n in names] if kind == "sentinel" else names))
+        payload, header = codebook.dump_positional(mapping)
+        if codebook.load_positional(payload, header) != mapping:
+            raise ValueError(f"{kind}: the codebook does not come back")
+        rows.append((kind, header, payload))
+    return spark.createDataFrame(rows, "keys string, header string, payload string")
 
 
 _SAVED = r"""
@@ -582,7 +802,22 @@ def ablation_matrix(spark, sf_dir):
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], kinds)
 
 
-@query()
+@query(
+    f"""
+WITH {_CHOSEN},
+ranked AS (SELECT word, 19967 + row_number() OVER (ORDER BY n * (t - 1) - (t + 1) DESC, n DESC, length(word) DESC, sha256(word)) AS cp FROM scored JOIN chosen USING (word, n)),
+pieces AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_]+')) AS p, generate_subscripts(regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_]+'), 1) AS k FROM documents),
+encoded AS (SELECT doc_id, string_agg(CASE WHEN cp IS NULL THEN p ELSE chr(CAST(cp AS INTEGER)) END, '' ORDER BY k) AS x FROM pieces LEFT JOIN ranked ON p = word GROUP BY doc_id),
+book AS (SELECT string_agg(word, '§' ORDER BY cp) AS payload, '[MAP:INDEXED sentinel=''§'' cjk_start=19968 count=' || count(*) || ']' AS header FROM ranked),
+told AS (SELECT (SELECT CAST(sum({sql_tokens('text')}) AS BIGINT) FROM documents) AS raw, (SELECT CAST(sum({sql_tokens('x')}) AS BIGINT) FROM encoded) AS enc,
+  (SELECT {sql_tokens('payload')} + {sql_tokens('header')} FROM book) AS extra),
+steps AS (SELECT '1-canonical' AS stage, raw AS before_tokens, raw AS after_tokens FROM told UNION ALL SELECT '2-encoded-gross', raw, enc FROM told
+  UNION ALL SELECT '2-encoded-net', raw, enc + extra FROM told UNION ALL SELECT '3-total-net', raw, enc + extra FROM told)
+SELECT *, before_tokens - after_tokens AS saved_tokens, round_even((before_tokens - after_tokens) * 100.0 / before_tokens, 2) AS saved_pct FROM steps
+"""
+)
 def stage_report(spark, sf_dir):
-    """Token economics of compacting all documents, by stage."""
-    return compress.summary(compress.compact(corpus(spark, sf_dir), tuning=PRESETS["conservative"]))
+    """Token economics by stage, of all documents with the codebook of words."""
+    docs, chosen, encoded = _word_codebook(spark, sf_dir)
+    payload, header = codebook.get_format().dump(codec.mapping_of(codec.codebook(encoded, chosen)))
+    return report.stages(docs, docs, encoded, get_counter().count(payload), get_counter().count(header))

@@ -6,6 +6,7 @@ import argparse
 import json
 import os
 import sys
+import time
 
 from . import __version__
 
@@ -108,9 +109,11 @@ def run(args: argparse.Namespace) -> int:
     export_for = None
     if args.no_export_mapping:
         left_out = {n.strip() for n in args.no_export_mapping.split(",")}
-        paths = [r["path"] for r in docs.select("path").collect()]
-        export_for = [p for p in paths if p not in left_out and os.path.basename(p) not in left_out]
+        base = F.regexp_extract("path", "[^/]*$", 0)
+        export_for = docs.select("path").where(~F.col("path").isin(*left_out) & ~base.isin(*left_out))
+    started = time.perf_counter()
     result = compress.compact(docs, canon, tuning, args.placeholder_style, args.mapping_format, counter, export_for)
+    took = time.perf_counter() - started
     payload, header = ("", "") if args.no_export_mapping == "" else (result.payload, result.header)
 
     shown = result.encoded.withColumn("path", sinks.relative_path(result.encoded["path"], root))
@@ -120,7 +123,7 @@ def run(args: argparse.Namespace) -> int:
         sys.stdout.write(sinks.envelope(header, payload, body) if args.envelope else "\n".join([p for p in (header, payload) if p] + [body]))
     else:
         sinks.write_texts(shown, out)
-        entries = [r.asDict(recursive=True) for r in result.book.collect()]
+        entries = [r.asDict(recursive=True) for r in codec.with_occurrences(result.book, result.places).collect()]
         sinks.write_json(
             f"{out}/reverse_map.json",
             {"placeholders": {e["token"]: {**e, "type": e["ctype"]} for e in entries}, "ph_meta": result.protocol, "metadata": {"tool": "textfold", "version": __version__}},
@@ -133,7 +136,7 @@ def run(args: argparse.Namespace) -> int:
                 sinks.write_atomic(f"{out}/protocol_header.txt", header)
         if args.export_manifest and metas is not None:
             listed = docs.select("path", "file_ord").join(metas.select("path", "sha256"), "path")
-            sinks.write_json(f"{out}/manifest.json", report.manifest_document(report.manifest(listed, result.book, root), result.book))
+            sinks.write_json(f"{out}/manifest.json", report.manifest_document(report.manifest(listed, result.places, root), result.book))
         if args.chunk_output:
             cut = sinks.settle(chunks.chunk(shown, list(result.mapping), args.chunk_size), "chunks")
             sinks.write_texts(cut.select(cut["name"].alias("path"), "text"), f"{out}/chunks")
@@ -149,6 +152,7 @@ def run(args: argparse.Namespace) -> int:
             return 2
     for r in compress.summary(result, counter).collect():
         print(json.dumps(r.asDict()), file=sys.stderr)
+    print(json.dumps(compress.throughput(result, took)), file=sys.stderr)
     return 0
 
 

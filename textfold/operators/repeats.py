@@ -13,9 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import Tuning
 from ..functions.lines import split_keep
+from ..sources.sinks import settle
 
 #: What counts as a word, and how often it must occur.
 WORD_RUN, WORD = r"[\p{L}\p{N}_]+", "^[A-Za-z_][A-Za-z0-9_]{3,}$"
@@ -109,8 +111,24 @@ def _block_places(docs: DataFrame, b_min: int, b_max: int) -> DataFrame:
 
 
 def with_content(places: DataFrame, docs: DataFrame) -> DataFrame:
-    """Add ``content`` to places by reading the text they stand in."""
-    return places.join(docs.select("file_ord", "text"), "file_ord").withColumn("content", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).drop("text")
+    """Add ``content`` to places by reading the text they stand in: a text once for all its places."""
+    columns = [c for c in places.columns if c != "file_ord"]
+    packed = places.groupBy("file_ord").agg(F.collect_list(F.struct(*columns)).alias("at"))
+    rows = docs.select("file_ord", "text").join(packed, "file_ord").select("file_ord", "text", "at")
+    schema = StructType([*places.select("file_ord", *columns).schema.fields, StructField("content", StringType())])
+
+    def run(batches):
+        for batch in batches:
+            for k, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                at = batch.column(2).slice(k, 1).flatten()
+                own = [at.field(j) for j in range(len(columns))]
+                starts, ends = (own[columns.index(c)].to_pylist() for c in ("start", "end"))
+                for low in range(0, len(starts), 20_000):
+                    some = slice(low, low + 20_000)
+                    content = pa.array([text[a:b] for a, b in zip(starts[some], ends[some])], pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(content), doc)), *[c.slice(low, 20_000) for c in own], content], names=["file_ord", *columns, "content"])
+
+    return rows.mapInArrow(run, schema).select(*places.columns, "content")
 
 
 def block_candidates(docs: DataFrame, b_min: int, b_max: int) -> DataFrame:
@@ -153,6 +171,36 @@ def _gram_places(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("file_ord", "text").mapInArrow(run, "h long, before long, file_ord long, start int")
 
 
+def _repeated_places(docs: DataFrame, size: int) -> DataFrame:
+    """Rows of :func:`_gram_places` whose hash another row has too: one exchange, and one pass over sorted rows."""
+
+    def run(batches):
+        last, known = None, False  # the last row so far, and whether it is known to repeat
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data = pa.Table.from_batches([batch])
+            if last is not None:
+                data = pa.concat_tables([last, data]).combine_chunks()
+            h = data.column(0).to_numpy()
+            same = h[1:] == h[:-1]
+            shared = np.append(known, same) | np.append(same, False)
+            last, known = data.slice(len(h) - 1, 1), bool(shared[-1])
+            shared[-1] = False
+            yield from data.filter(pa.array(shared)).combine_chunks().to_batches()
+        if known:
+            yield from last.to_batches()
+
+    return _gram_places(docs, size).repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, before long, file_ord long, start int")
+
+
+def gram_counts(docs: DataFrame, size: int, n_min: int = 2) -> DataFrame:
+    """``content, n`` of runs of ``size`` characters that occur ``n_min`` times. Each text is read from one place."""
+    groups = _repeated_places(docs, size).groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("file_ord", "start")).alias("first")).where(F.col("n") >= n_min)
+    first = groups.select("first.*", (F.col("first.start") + size).alias("end"), "n")
+    return with_content(first, docs).select("content", "n")
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the longest common prefix of two strings."""
     longest = F.least(F.length(a), F.length(b))
@@ -168,7 +216,7 @@ def gram_candidates(docs: DataFrame, l_min: int, n_min: int, l_max: int, every_w
     always follow one other group of the same size have the same extension and are left to it, except with ``every_window``
     (which adds the shifted cuts of repeats longer than ``l_max``).
     """
-    places = _gram_places(docs, l_min)
+    places = settle(_repeated_places(docs, l_min), "grams")
     groups = places.groupBy("h").agg(F.count("*").alias("n"), F.min("before").alias("b0"), F.max("before").alias("b1"), F.count("before").alias("nb")).where(F.col("n") >= n_min)
     if not every_window:
         counts = groups.select(F.col("h").alias("b0"), F.col("n").alias("n0"))

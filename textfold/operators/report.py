@@ -94,10 +94,9 @@ def token_ratio(samples: DataFrame, real: Column, heuristic: Column) -> DataFram
     return samples.withColumn("ratio", F.when(real > 0, F.bround(heuristic / real, 4)).otherwise(F.lit(1.0)))
 
 
-def manifest(files: DataFrame, book: DataFrame, root: str | None) -> DataFrame:
-    """``i, path, sha, ph``: files in order of path, each with the tokens it uses. ``files`` has ``path, file_ord, sha256``."""
-    used = book.select("token", F.explode("occurrences").alias("o")).select("token", F.col("o.path").alias("path")).distinct()
-    tokens = used.groupBy("path").agg(F.sort_array(F.collect_list("token")).alias("ph"))
+def manifest(files: DataFrame, used: DataFrame, root: str | None) -> DataFrame:
+    """``i, path, sha, ph``: files in order of path, each with the tokens it uses. ``files`` has ``path, file_ord, sha256``, ``used`` the places of tokens."""
+    tokens = used.select("token", "path").distinct().groupBy("path").agg(F.sort_array(F.collect_list("token")).alias("ph"))
     return files.join(tokens, "path", "left").select(
         F.col("file_ord").alias("i"), relative_path(F.col("path"), root).alias("path"), F.col("sha256").alias("sha"), F.coalesce("ph", F.array().cast("array<string>")).alias("ph")
     )
