@@ -44,3 +44,30 @@ def test_calibration_against_itself(spark):
 def test_unknown_tokenizer_is_heuristic():
     assert tokens.get_counter("p50k_base").name == "heuristic"
     assert tokens.get_counter("auto").count("hello world") == 2
+
+
+def test_rank_files_and_their_patterns(tmp_path):
+    import base64
+
+    path = tmp_path / "ranks"
+    parts = [bytes([b]) for b in range(256)] + [b"ab", b"12", b"123", b"1234"]
+    path.write_text("".join(f"{base64.b64encode(p).decode()} {k}\n" for k, p in enumerate(parts)))
+    assert tokens.get_counter(f"ranks:{path}").count("ab 1234") == 3  # ab, blank, 1234
+    assert tokens.get_counter(f"ranks+cl100k:{path}").count("ab1234") == 3  # ab, 123, 4
+    with pytest.raises(ValueError):
+        tokens.get_counter(f"ranks+other:{path}")
+    assert tokens.get_counter("auto").name == "heuristic"
+
+
+def test_benchmark_table(spark, tmp_path, capsys):
+    import json
+
+    from textfold import benchmark
+
+    (tmp_path / "a.py").write_text("some_long_identifier_name = other_long_identifier_name\n" * 12)
+    out = tmp_path / "rows.json"
+    assert benchmark.main(["-i", str(tmp_path / "none")]) == 1
+    assert benchmark.main(["-i", str(tmp_path / "a.py"), "--json-out", str(out)]) == 0
+    rows = json.loads(out.read_text())
+    shown = capsys.readouterr().out
+    assert len(rows) == 7 and all(r["roundtrip_ok"] for r in rows) and shown.count("PASS") == 7 and "single_token+positional" in shown

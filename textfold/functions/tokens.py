@@ -55,23 +55,39 @@ def heuristic_count(text: str) -> int:
     return max(1, total)
 
 
+#: The piece patterns of rank files, and the encodings that tiktoken knows by name.
+PIECES = {
+    "gpt2": r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
+    "cl100k": r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|\s*[\r\n]|\s+(?!\S)|\s""",
+}
+NAMED = ("cl100k_base", "o200k_base")
+
+
 @functools.cache
-def _ranks(path: str):
+def _ranks(path: str, pieces: str):
     import base64
 
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=PIECES[pieces], mergeable_ranks=ranks, special_tokens={})
+
+
+@functools.cache
+def _named(name: str):
+    import tiktoken
+
+    return tiktoken.get_encoding(name)
 
 
 @functools.cache
 def _hub(path: str):
+    import os
+
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    return Tokenizer.from_file(path) if os.path.exists(path) else Tokenizer.from_pretrained(path)
 
 
 class TokenCounter:
@@ -90,13 +106,19 @@ def _worker(name: str, count: Callable[[str], int]) -> TokenCounter:
 
 
 def get_counter(target: str = "heuristic") -> TokenCounter:
-    """``heuristic`` (also for ``auto`` and unknown names), ``ranks:FILE`` (tiktoken ranks) or ``hf:FILE`` (tokenizers JSON).
+    """A tokenizer by name: ``heuristic`` (also for ``auto`` and unknown names), an encoding tiktoken has by name,
+    ``ranks:FILE`` (tiktoken ranks; ``ranks+cl100k:FILE`` with the newer piece pattern) or ``hf:FILE`` (tokenizers JSON, or the name of one).
 
-    Files are local, so counting never needs a network, and no remote code is run.
+    Files need no network; names do, unless their files are in the library's cache. No remote code is run.
     """
     kind, _, path = (target or "").partition(":")
-    if kind == "ranks" and path:
-        return _worker(target, lambda t: len(_ranks(path).encode_ordinary(t)))
+    if target in NAMED:
+        return _worker(f"tiktoken:{target}", lambda t: len(_named(target).encode(t, disallowed_special=())))
+    if kind.split("+")[0] == "ranks" and path:
+        pieces = kind.partition("+")[2] or "gpt2"
+        if pieces not in PIECES:
+            raise ValueError(f"no piece pattern {pieces}; there are {sorted(PIECES)}")
+        return _worker(target, lambda t: len(_ranks(path, pieces).encode_ordinary(t)))
     if kind == "hf" and path:
         return _worker(target, lambda t: len(_hub(path).encode(t, add_special_tokens=False).ids))
     return TokenCounter("heuristic", heuristic_tokens, heuristic_count)
