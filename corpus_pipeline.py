@@ -54,9 +54,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = groups.join(first, "id", "left_anti").select("id")
     again = groups.where("times > 1").join(first, "id", "left_semi").select("id")  # firsts of which there are several rows
     going = settle(others.withColumn("whole", F.lit(True)).union(again.withColumn("whole", F.lit(False))), "near-going")
-    kept = keyed.join(going, F.col(key) == F.col("id"), "left_anti")
-    once = keyed.join(going.where("not whole"), F.col(key) == F.col("id"), "left_semi").dropDuplicates([key])
-    return kept.union(once).select(*docs.columns)
+    kept = keyed.join(going.select(F.col("id").alias(key)), key, "left_anti")
+    once = keyed.join(going.where("not whole").select(F.col("id").alias(key)), key, "left_semi").dropDuplicates([key])
+    return kept.select(*docs.columns).union(once.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

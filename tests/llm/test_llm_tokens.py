@@ -124,5 +124,10 @@ def test_packing_loses_nothing(docs, tmp_path):
     assert back == {k: t for k, t in enumerate(ODD) if t}
     packing.write_matrix(packed, str(tmp_path / "t"))
     assert packing.export_matrix(packed, str(tmp_path / "m")) == len(rows)
+    assert packing.export_parts(packed, str(tmp_path / "p")) == len(rows)
+    for name in packing.FILES:
+        parts = sorted((tmp_path / "p").glob(f"part-*.{name}"))
+        assert sum(len(p.read_bytes()) for p in parts) == len((tmp_path / "m" / name).read_bytes())
+    assert not list((tmp_path / "p").glob("*.tmp"))
     assert np.fromfile(tmp_path / "m/ids.bin", "<u4").size == 64 * len(rows)
     assert packing.pack_documents(docs([]), BYTES).count() == 0

@@ -314,3 +314,29 @@ def test_language_against_its_definition(docs, spark):
         if max(score, want(text)[1]) > 1 / 3 + 1e-6:
             assert lang == want(text)[0], text
         assert score == pytest.approx(want(text)[1], abs=1e-4)
+
+
+def test_vectors_pool_and_network_against_their_definition(docs):
+    texts = ["One two, THREE 3 two.", "two one", "", None, "alone", "a b c d e f g a b"]
+    sums = np.zeros((quality.BUCKETS, quality.WIDTH))
+    for text in texts:
+        words = [int(c) >> 10 for c in quality.codes_of(text)]
+        for i, w in enumerate(words):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(words):
+                    sums[w] += quality.INDEX[words[j]]
+    norms = [np.sqrt((row**2).sum()) for row in sums]
+    want = np.array([row / n if n > 1e-9 else row for row, n in zip(sums, norms)])
+    got = quality.learn_vectors(docs(texts))
+    assert np.allclose(got, want, atol=1e-6)
+    codes = [int(c) for c in quality.codes_of(texts[0])]
+    rows = [quality.INDEX[c >> 10] for c in codes]
+    parts = [rows, [got[c >> 10] for c in codes], [quality.SHAPE[c & 1023] for c in codes], [a * b for a, b in zip(rows, rows[1:])]]
+    assert np.allclose(quality.pool(texts[0], got), np.concatenate([sum(p) / len(p) for p in parts]), atol=1e-6)
+    assert not quality.pool(None, got).any()
+    r = np.random.default_rng(5)
+    net = quality.Network(r.normal(size=6), r.random(6) + 0.5, r.normal(size=(6, 3)), r.normal(size=3), r.normal(size=3), 0.3, 1.7)
+    for x in r.normal(size=(20, 6)):
+        hidden = [max(0.0, sum((x[i] - net.centre[i]) / net.scale[i] * net.w1[i, j] for i in range(6)) + net.b1[j]) for j in range(3)]
+        logit = sum(h * w for h, w in zip(hidden, net.w2)) + net.b2
+        assert net.scores(x[None])[0] == pytest.approx(1 / (1 + math.exp(-logit / 1.7)))

@@ -10,6 +10,9 @@ A row holds ``ids`` and ``positions`` (``length`` little-endian unsigned 32-bit
 start at 0 in every segment; what is left is filled with ``pad`` and 0), ``cu_seqlens`` (running
 segment lengths from 0), and for every segment the document and the place of its first token.
 
+Which rows there are depends on how the table is split into tasks, as each packs its own documents; what is
+lost to fill is at most the last few rows of a run (see the README for figures by size of split).
+
 Defined results: a document without tokens (null or empty text) has no segment; repeated rows are
 packed each; very long texts become many segments; an empty table gives no rows; null ids are
 carried; other columns are ignored.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -169,18 +173,53 @@ def write_matrix(packed: DataFrame, folder: str) -> None:
     packed.write.mode("overwrite").parquet(folder)
 
 
+def _row_bytes(ids, positions, lens) -> tuple[bytes, bytes, bytes]:
+    return ids, positions, np.array([len(lens), *lens], "<u4").tobytes()
+
+
+FILES = ("ids.bin", "positions.bin", "cu_seqlens.bin")
+
+
 def export_matrix(packed: DataFrame, folder: str) -> int:
     """Stream packed rows, in order of ``pack_id``, into ``ids.bin``, ``positions.bin`` and ``cu_seqlens.bin`` of a folder that the driver can write.
 
     The first two are matrices of 32-bit integers; the third has, for every row, the number of its
-    entries and the entries. Returns the number of rows; one partition is in memory at a time.
+    entries and the entries. Returns the number of rows; one partition is in memory at a time. For one small
+    file of each kind; :func:`export_parts` writes many at once.
     """
     os.makedirs(folder, exist_ok=True)
     n = 0
-    with open(f"{folder}/ids.bin", "wb") as ids, open(f"{folder}/positions.bin", "wb") as positions, open(f"{folder}/cu_seqlens.bin", "wb") as lens:
+    with ExitStack() as stack:
+        files = [stack.enter_context(open(f"{folder}/{name}", "wb")) for name in FILES]
         for row in packed.select("pack_id", "ids", "positions", "cu_seqlens").orderBy("pack_id").toLocalIterator():
-            ids.write(row["ids"])
-            positions.write(row["positions"])
-            lens.write(np.array([len(row["cu_seqlens"]), *row["cu_seqlens"]], "<u4").tobytes())
+            for f, data in zip(files, _row_bytes(row["ids"], row["positions"], row["cu_seqlens"])):
+                f.write(data)
             n += 1
     return n
+
+
+def export_parts(packed: DataFrame, folder: str) -> int:
+    """The same three files for every task, ``part-00000.ids.bin`` and so on, written by the tasks into a folder that all of them share.
+
+    A task writes aside and moves its files into place when they are whole, so a task that is run again leaves the same files once.
+    """
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches):
+        task = TaskContext.get()
+        final = [f"{folder}/part-{task.partitionId():05d}.{name}" for name in FILES]
+        aside = [f"{name}.{task.taskAttemptId()}.tmp" for name in final]
+        n = 0
+        with ExitStack() as stack:
+            files = [stack.enter_context(open(name, "wb")) for name in aside]
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    for f, data in zip(files, _row_bytes(*row)):
+                        f.write(data)
+                    n += 1
+        for old, new in zip(aside, final):
+            os.replace(old, new)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    counts = map_arrow(packed.select("ids", "positions", "cu_seqlens"), run, "n long")
+    return counts.agg(F.sum("n")).first()[0] or 0
