@@ -102,7 +102,7 @@ def fold_batches(df: DataFrame, make: Callable[[list[list]], list[list]], schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _runs(batch):
+            for part in runs_of(batch):
                 columns = make([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out_type.types)], schema=out_type)
 
@@ -118,7 +118,7 @@ def append_batches(df: DataFrame, inputs: list[str], make: Callable[[list[list]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _runs(batch):
+            for part in runs_of(batch):
                 columns = make([part.column(k).to_pylist() for k in places])
                 arrays = [*part.columns, *(pa.array(c, t) for c, t in zip(columns, new.types))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, *new.names])
@@ -127,7 +127,8 @@ def append_batches(df: DataFrame, inputs: list[str], make: Callable[[list[list]]
     return map_arrow(df, run, schema)
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def runs_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of about ``OUT_BYTES``."""
     if batch.num_rows == 0:
         return
     step = max(1, min(batch.num_rows, int(batch.num_rows * OUT_BYTES / max(1, batch.nbytes))))

@@ -3,13 +3,14 @@
 An item is the set of its windows: ten consecutive words, or all of its words where it has
 fewer. A document holds a window when the ten words stand in it one after the other, that is
 when it contains the window's shingles (two words) in place. For full containment the necessary
-prefix of a window is one shingle, so each window is joined by its rarest one, by the counts of all
+prefix of a window is one shingle, so each window is joined by its rarest one, by a count sketch of all
 shingles of all documents. A document's shingle that matches gives the only start the window can
 have; starts that fall outside the text are dropped (length and position), and the others are
-verified word by word.
+verified word by word. Words are held as hashes of 64 bits.
 
-Items are taken in blocks of a bounded size; one block's windows are broadcast, and all documents
-are read against it. Documents are never shuffled.
+Items are taken in blocks of a bounded size; one block's windows are broadcast, as arrays of about six
+times its text, and all documents are read against it, once for each block and once for the sketch.
+Documents are never shuffled.
 
 Defined results: a null text has no words and no hits; items without words have no windows; items
 with one id are one item; repeated documents give repeated rows; an empty table of documents gives
@@ -19,128 +20,159 @@ an empty table, one of items no hits; other columns are ignored.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import append_batches, map_arrow, settle, unused
+from .common import Scratch, block_rows, map_arrow, reduce_blocks, runs_of, unused
+from .wordsets import mixed, word_codes
 
 WINDOW = 10
 #: Most bytes of item texts that are held in memory and broadcast at once.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+#: Cells of the count sketch. They decide only which shingle a window is joined by.
+CELLS = 1 << 20
+#: Pairs of a place and a window that are looked at together.
+PAIRS = 1 << 20
 
-#: A-Z become a-z; of the other ASCII characters only digits and a-z stay.
-_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Bytes that part words: of the ASCII characters only digits and letters do not.
+_APART = np.array([not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) for c in range(256)])
+_FIRST, _SECOND, _LONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words of a UTF-8 text."""
-    return text.translate(_WORDS).split() if text else []
+def shingles_of(codes: np.ndarray) -> np.ndarray:
+    """The shingle that begins at each word but the last."""
+    return mixed(codes[:-1] * _FIRST + codes[1:] * _SECOND)
+
+
+def lone_of(codes: np.ndarray) -> np.ndarray:
+    """Words as the only ones of their window."""
+    return mixed(codes * _LONE)
+
+
+def _binary(texts: pa.Array) -> pa.Array:
+    return texts if pa.types.is_binary(texts.type) else texts.cast(pa.binary())
 
 
-@dataclass
 class ItemBlock:
-    """Windows of some items, in word numbers from 1 on; 0 is a word of no item."""
-
-    number: dict[bytes, int]
-    windows: list[np.ndarray]
-    items: list[list[str]]  # for each window
-    prefix: dict[int, list[tuple[int, int]]] | None = None  # shingle -> (window, place in it)
-
-    @classmethod
-    def of(cls, rows: list[tuple[str, bytes | None]], size: int) -> ItemBlock:
-        number: dict[bytes, int] = {}
-        seen: dict[bytes, set[str]] = {}
-        for item, text in rows:
-            ids = np.array([number.setdefault(w, len(number) + 1) for w in words_of(text)], np.int64)
-            for start in range(max(1, len(ids) - size + 1)) if len(ids) else ():
-                seen.setdefault(ids[start : start + size].tobytes(), set()).add(item)
-        return cls(number, [np.frombuffer(w, np.int64) for w in seen], [sorted(s) for s in seen.values()])
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        get = self.number.get
-        return np.fromiter([get(w, 0) for w in words], np.int64, len(words))
-
-    def shingles(self, ids: np.ndarray) -> np.ndarray:
-        """The shingle that begins at each place; 0 where one of its words is in no item. Its last place holds a lone word."""
-        width = len(self.number) + 1
-        following = np.append(ids[1:], 0)
-        return np.where((ids > 0) & (following > 0), ids * width + following, 0)
-
-    def known(self) -> np.ndarray:
-        """All shingles of the windows; those of a lone word are negative."""
-        found = {int(s) for w in self.windows for s in (self.shingles(w)[:-1] if len(w) > 1 else -w)}
-        return np.array(sorted(found), np.int64)
-
-    def choose(self, counts: dict[int, int]) -> None:
-        """Order each window's shingles by rarity and keep the necessary prefix: the rarest."""
-        self.prefix = {}
-        for k, w in enumerate(self.windows):
-            own = self.shingles(w)[:-1] if len(w) > 1 else -w
-            place = min(range(len(own)), key=lambda p: (counts.get(int(own[p]), 0), int(own[p]), p))
-            self.prefix.setdefault(int(own[place]), []).append((k, place))
-        self.keys = np.array(sorted(self.prefix), np.int64)
-
-    def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """Which words are hit, and the items."""
-        ids = self.numbers(words)
-        hit, items = np.zeros(len(ids), bool), set()
-        if not len(self.keys):
-            return hit, items
-        for codes in (self.shingles(ids), -ids) if self.keys[0] < 0 else (self.shingles(ids),):
-            at = np.flatnonzero(codes)
-            near = np.minimum(np.searchsorted(self.keys, codes[at]), len(self.keys) - 1)
-            at = at[self.keys[near] == codes[at]]
-            if not len(at):
-                continue
-            found = codes[at]
-            for code in np.unique(found).tolist():
-                places = at[found == code]
-                for k, place in self.prefix[code]:
-                    w = self.windows[k]
-                    starts = places - place
-                    starts = starts[(starts >= 0) & (starts + len(w) <= len(ids))]
-                    for j in range(len(w)):
-                        starts = starts[ids[starts + j] == w[j]]
-                    if len(starts):
-                        items.update(self.items[k])
-                        for j in range(len(w)):
-                            hit[starts + j] = True
-        return hit, items
-
-
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int, size: int):
-    """Blocks one after the other, each with whether it is the last."""
+    """Windows of some items, each once, with the items that hold it; sorted by the shingle they are joined by."""
+
+    def __init__(self, rows: list[tuple[str, bytes | None]], size: int, counts: np.ndarray):
+        self.names = sorted({item for item, _ in rows})
+        place_of = {name: k for k, name in enumerate(self.names)}
+        texts = list(word_codes(pa.array([text for _, text in rows], pa.binary()), _APART))
+        self.codes = np.concatenate([*texts, np.zeros(size, np.uint64)])
+        begin = np.cumsum([0, *map(len, texts)])
+        starts, lengths, items = [], [], []
+        for (item, _), codes, low in zip(rows, texts, begin):
+            if len(codes):
+                n = max(1, len(codes) - size + 1)
+                starts.append(np.arange(low, low + n))
+                lengths.append(np.full(n, min(size, len(codes))))
+                items.append(np.full(n, place_of[item]))
+        if not starts:
+            self.keys = np.zeros(0, np.uint64)
+            return
+        start, length, item = (np.concatenate(c) for c in (starts, lengths, items))
+        digest, factors = np.zeros(len(start), np.uint64), mixed(np.arange(1, 2 * size + 1, 2, dtype=np.uint64) * _FIRST)
+        for j in range(size):
+            digest += np.where(j < length, self.codes[np.minimum(start + j, len(self.codes) - 1)] * factors[j], np.uint64(0))
+        digest = mixed(digest + length.astype(np.uint64))
+        order = np.lexsort((item, digest))
+        digest, item = digest[order], item[order]
+        fresh = np.append(True, digest[1:] != digest[:-1])
+        again = np.append(False, (digest[1:] == digest[:-1]) & (item[1:] == item[:-1]))
+        window = (np.cumsum(fresh) - 1)[~again]
+        held = np.flatnonzero(fresh)
+        start, length = start[order][held], length[order][held]
+        key, place = self._prefixes(start, length, counts)
+        by_key = np.argsort(key, kind="stable")
+        rank = np.empty(len(by_key), np.int64)
+        rank[by_key] = np.arange(len(by_key))
+        self.keys, self.place = key[by_key], place[by_key].astype(np.int8 if size < 128 else np.int32)
+        self.start, self.length = start[by_key].astype(np.int32), length[by_key].astype(np.int32)
+        self.lone = bool((length == 1).any())
+        owner = rank[window]
+        listed = np.argsort(owner, kind="stable")
+        self.items = item[~again][listed].astype(np.int32)
+        self.item_ends = np.cumsum(np.bincount(owner, minlength=len(self.keys))).astype(np.int64)
+
+    def _prefixes(self, start: np.ndarray, length: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The necessary prefix of each window: its rarest shingle, and where in the window it stands."""
+        all_shingles = shingles_of(self.codes)
+        key, place = lone_of(self.codes[start]), np.zeros(len(start), np.int64)
+        for low in range(0, len(start), 100_000):
+            some = slice(low, low + 100_000)
+            best = None
+            for j in range(int(length[some].max()) - 1):
+                shingle = all_shingles[np.minimum(start[some] + j, len(all_shingles) - 1)]
+                times = counts[(shingle & np.uint64(len(counts) - 1)).astype(np.int64)]
+                fits = j + 1 < length[some]
+                better = fits if best is None else fits & ((times < best) | ((times == best) & (shingle < key[some])))
+                best = times if best is None else np.where(better, times, best)
+                key[some] = np.where(better, shingle, key[some])
+                place[some] = np.where(better, j, place[some])
+        return key, place
+
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words of a document are hit, and the items (places in ``names``)."""
+        hit, found = np.zeros(len(codes) + 1, np.int64), []
+        if len(self.keys) and len(codes):
+            for mine in (shingles_of(codes), lone_of(codes)) if self.lone else (shingles_of(codes),):
+                low = np.searchsorted(self.keys, mine)
+                at = np.flatnonzero(self.keys[np.minimum(low, len(self.keys) - 1)] == mine)
+                low = low[at]
+                many = np.searchsorted(self.keys, mine[at], "right") - low
+                ends = np.cumsum(many)
+                first = 0
+                while first < len(at):
+                    last = max(first + 1, int(np.searchsorted(ends, ends[first] - many[first] + PAIRS, "right")))
+                    owner = np.repeat(np.arange(first, last), many[first:last])
+                    step = np.arange(len(owner)) - np.repeat(ends[first:last] - many[first:last], many[first:last]) + (ends[first] - many[first])
+                    window = low[owner] + step
+                    self._verify(codes, at[owner] - self.place[window], window, hit, found)
+                    first = last
+        items = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return np.cumsum(hit[:-1]) > 0, items
+
+    def _verify(self, codes, start, window, hit, found) -> None:
+        length = self.length[window]
+        good = (start >= 0) & (start + length <= len(codes))
+        start, window, length = start[good], window[good], length[good]
+        for j in range(int(length.max(initial=0))):
+            same = (j >= length) | (codes[np.minimum(start + j, len(codes) - 1)] == self.codes[self.start[window] + j])
+            start, window, length = start[same], window[same], length[same]
+        np.add.at(hit, start, 1)
+        np.add.at(hit, start + length, -1)
+        for w in np.unique(window).tolist():
+            found.append(self.items[self.item_ends[w - 1] if w else 0 : self.item_ends[w]])
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
+    """Rows of items, block after block, each with whether it is the last."""
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield ItemBlock.of([(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in part.collect()], size), k == n - 1
+        yield [(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in part.collect()], k == n - 1
 
 
-def _count_shingles(docs: DataFrame, text_col: str, block: ItemBlock) -> dict[int, int]:
-    """Counts over all documents of the block's shingles."""
-    sent = docs.sparkSession.sparkContext.broadcast((block, block.known()))
+def _sketch(docs: DataFrame, text_col: str) -> np.ndarray:
+    """Counts of the shingles of all documents, in cells."""
 
-    def count(batches):
+    def run(batches):
+        cells = np.zeros(CELLS, np.uint32)
         for batch in batches:
-            own, known = sent.value
-            total = np.zeros(len(known) + 1, np.int64)
-            for text in batch.column(0).to_pylist():
-                ids = own.numbers(words_of(text))
-                for codes in (own.shingles(ids), -ids) if known[0] < 0 else (own.shingles(ids),):
-                    codes = codes[codes != 0]
-                    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-                    total += np.bincount(at[known[at] == codes], minlength=len(known) + 1)
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(known[some]), pa.array(total[some])], names=["shingle", "n"])
+            for codes in word_codes(batch.column(0), _APART):
+                if len(codes) > 1:
+                    np.add.at(cells, (shingles_of(codes) & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
+        yield pa.RecordBatch.from_arrays([*block_rows(cells)], names=["block", "cells"])
 
-    counted = map_arrow(docs.select(F.col(text_col).cast("binary")), count, "shingle long, n long")
-    return {r["shingle"]: r["n"] for r in counted.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}
+    return reduce_blocks(map_arrow(docs.select(F.col(text_col).cast("binary")), run, "block int, cells binary"), np.add, "u4", 4 * CELLS)
 
 
 def annotate(
@@ -154,28 +186,40 @@ def annotate(
     names: tuple[str, str, str] = ("words", "runs", "items"),
 ) -> DataFrame:
     """``docs`` with the number of words, the first word and end of each run of hit words, and the ids of the items found added, under ``names`` (which ``docs`` doesn't have)."""
-    state = docs
-    new = unused([*docs.columns, *names], *names)
-    for block, last in _blocks(items, item_col, item_text_col, block_bytes, size):
-        block.choose(_count_shingles(docs, text_col, block) if block.windows else {})
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def look(columns: list[list], sent=sent) -> list[list]:
-            words, runs, items = [], [], []
-            for text, old_runs, old_items in zip(*columns) if len(columns) == 3 else ((t, [], []) for t in columns[0]):
-                hit, found = sent.value.hits(words_of(text.encode("utf-8") if text is not None else None))
-                words.append(len(hit))
-                for a, b in zip(old_runs[::2], old_runs[1::2]):
-                    hit[a:b] = True
-                runs.append(np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist())
-                items.append(sorted(found | set(old_items)))
-            return [words, runs, items]
-
-        before = [text_col] if state is docs else [text_col, *names[1:]]
-        state = append_batches(state, before, look, f"`{new[0]}` long, `{new[1]}` array<int>, `{new[2]}` array<string>")
-        state = state.select(*docs.columns, *[F.col(n).alias(c) for n, c in zip(new, names)])
+    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in names}:
+        raise ValueError(f"columns {sorted(clash)} are there already; give other names")
+    scratch, state, counts = Scratch(docs.sparkSession, "decontam"), docs, _sketch(docs, text_col)
+    n = len(docs.columns)
+    place = docs.columns.index(text_col)
+    added = _parse_datatype_string("words long, runs array<int>, items array<string>").fields
+    schema = StructType([*docs.schema.fields, *[type(f)(name, f.dataType) for f, name in zip(added, names)]])
+    for rows, last in _blocks(items, item_col, item_text_col, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(ItemBlock(rows, size, counts))
+
+        def look(batches, sent=sent):
+            block = sent.value
+            for batch in batches:
+                for part in runs_of(batch):
+                    old = [part.column(k).to_pylist() for k in (n + 1, n + 2)] if part.num_columns > n else None
+                    words, runs, found = [], [], []
+                    for k, codes in enumerate(word_codes(_binary(part.column(place)), _APART)):
+                        hit, own = block.hits(codes)
+                        listed = [block.names[i] for i in own.tolist()]
+                        if old is not None:
+                            for a, b in zip(old[0][k][::2], old[0][k][1::2]):
+                                hit[a:b] = True
+                            listed = sorted({*listed, *old[1][k]})
+                        words.append(len(codes))
+                        runs.append(np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist())
+                        found.append(listed)
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns[:n], pa.array(words, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))],
+                        names=[*part.schema.names[:n], *names],
+                    )
+
+        state = map_arrow(state, look, schema)
         if not last:
-            state = settle(state, "decontam")
+            state = scratch.settle(state, "read")
     return state
 
 

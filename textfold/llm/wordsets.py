@@ -52,10 +52,10 @@ class _Tables:
         return cls.up, cls.down
 
 
-def _codes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of at most ``SEGMENT`` bytes; no word goes over one of ``cuts``."""
+def _codes(data: np.ndarray, cuts: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of at most ``SEGMENT`` bytes; no word goes over one of ``cuts``. ``space`` tells which bytes part words."""
     up, down = _Tables.get()
-    word = ~_SPACE[data]
+    word = ~space[data]
     begin, end = word.copy(), word.copy()
     begin[1:] &= ~word[:-1]
     end[:-1] &= ~word[1:]
@@ -71,25 +71,25 @@ def _codes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, starts
 
 
-def _long_codes(data: np.ndarray) -> np.ndarray:
+def _long_codes(data: np.ndarray, space: np.ndarray) -> np.ndarray:
     """Hashes of the words of one text of any length."""
     out, at = [], 0
     while at < len(data):
         end = min(at + SEGMENT, len(data))
         if end < len(data):
-            spaces = np.flatnonzero(_SPACE[data[at:end]])
+            spaces = np.flatnonzero(space[data[at:end]])
             if len(spaces):
                 end = at + int(spaces[-1]) + 1
             else:  # one word goes over the whole segment
-                while end < len(data) and not _SPACE[data[end : end + SEGMENT]].any():
+                while end < len(data) and not space[data[end : end + SEGMENT]].any():
                     end += SEGMENT
                 end = min(len(data), end)
                 if end < len(data):
-                    end += int(np.argmax(_SPACE[data[end : end + SEGMENT]]))
+                    end += int(np.argmax(space[data[end : end + SEGMENT]]))
                 out.append(np.array([xxhash.xxh3_64_intdigest(data[at:end].tobytes().lower())], np.uint64))
                 at = end
                 continue
-        out.append(_codes(data[at:end], np.zeros(0, np.int64))[0])
+        out.append(_codes(data[at:end], np.zeros(0, np.int64), space)[0])
         at = end
     return np.concatenate(out) if out else _NONE
 
@@ -108,31 +108,44 @@ def _distinct(values: np.ndarray) -> np.ndarray:
     return values
 
 
-def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """For each text (binary, UTF-8) its sorted distinct shingles; none for a null or a text without words, one for fewer words than a shingle has."""
+def _runs(texts: pa.Array, space: np.ndarray) -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
+    """Word hashes of runs of texts (binary, UTF-8), and where those of each text begin and end. Nulls have none."""
     n = len(texts)
     buffers = texts.buffers()
     offsets = np.frombuffer(buffers[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
     data = np.frombuffer(buffers[2], np.uint8) if n and buffers[2] is not None else np.zeros(0, np.uint8)
-    null = texts.is_null().to_numpy(zero_copy_only=False) if texts.null_count else None
+    null = texts.is_null().to_numpy(zero_copy_only=False) if texts.null_count else np.zeros(n, bool)
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SEGMENT, "right")) - 1)
         part = data[offsets[first] : offsets[last]]
         if len(part) > SEGMENT:  # one long text
-            codes = _long_codes(part)
+            codes = _long_codes(part, space)
             places = np.array([0, len(codes)])
         else:
             cuts = offsets[first : last + 1] - offsets[first]
-            codes, starts = _codes(part, cuts)
+            codes, starts = _codes(part, cuts, space)
             places = np.searchsorted(starts, cuts)
+        ends = np.where(null[first:last], places[:-1], places[1:])
+        yield codes, list(zip(places[:-1].tolist(), ends.tolist()))
+        first = last
+
+
+def word_codes(texts: pa.Array, space: np.ndarray) -> Iterator[np.ndarray]:
+    """For each text the hashes of its words, in their order."""
+    for codes, places in _runs(texts, space):
+        for low, high in places:
+            yield codes[low:high]
+
+
+def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """For each text (binary, UTF-8) its sorted distinct shingles; none for a null or a text without words, one for fewer words than a shingle has."""
+    for codes, places in _runs(texts, _SPACE):
         whole = _shingled(codes, words)
-        for k in range(last - first):
-            low, high = places[k], places[k + 1]
-            if high == low or (null is not None and null[first + k]):
+        for low, high in places:
+            if high == low:
                 yield _NONE
             elif high - low < words:
-                yield _shingled(codes[low:high], int(high - low))
+                yield _shingled(codes[low:high], high - low)
             else:
                 yield _distinct(whole[low : high - words + 1])
-        first = last
