@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+_LIBC = ctypes.CDLL(None)
+
 #: Texts handed to a worker at once are cut into runs of about this many bytes when results are built.
 OUT_BYTES = 8 << 20
 #: Rows that go to a worker at once.
@@ -74,11 +77,27 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with batches of a size that leaves memory for long texts. The session keeps the setting, as plans read it when they run."""
+    """``mapInArrow`` with batches of a size that leaves memory for long texts, in workers that give freed memory back after each task.
+
+    The session keeps the setting, as plans read it when they run.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release() -> None:
+    """Give memory that this process has freed back to the system: a worker lives on, for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def unused(columns: list[str], *wanted: str) -> list[str]:

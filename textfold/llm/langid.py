@@ -133,7 +133,7 @@ class LanguageModel:
 class Memo:
     """Scores of words met lately. Emptied when it holds ``most`` of them."""
 
-    def __init__(self, model: LanguageModel, most: int = 200_000):
+    def __init__(self, model: LanguageModel, most: int = 120_000):
         self.model, self.most = model, most
         self._clear()
 
