@@ -153,7 +153,6 @@ def test_components_of_links(spark):
 @pytest.mark.parametrize("segment", [1 << 20, 64])
 def test_sets_in_bulk(monkeypatch, segment):
     monkeypatch.setattr(wordsets, "SEGMENT", segment)
-    monkeypatch.setattr(wordsets._Tables, "up", None)
     r = random.Random(13)
     texts = ["".join(r.choice(["a", "B", "É", " ", "\t", " ", "\x1c", "\n", "bc"]) for _ in range(r.randint(0, 90))) for _ in range(800)]
     texts += [None, "", ("x" * 3000 + " ") * 7, "y" * 700 + " Z", *ODD]
@@ -165,7 +164,6 @@ def test_sets_in_bulk(monkeypatch, segment):
         by_plain.setdefault(frozenset(plain_set(text)), set()).add(s.tobytes())
     assert all(len(v) == 1 for v in by_plain.values()) and len({x for v in by_plain.values() for x in v}) == len(by_plain)
     assert all(np.array_equal(a, b) for a, b in zip(wordsets.shingle_sets(array.slice(100, 50), 5), sets[100:150]))
-    monkeypatch.setattr(wordsets._Tables, "up", None)
 
 
 @pytest.mark.parametrize("part", [ngramjoin.PART, 8])

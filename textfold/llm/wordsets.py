@@ -8,6 +8,7 @@ longer text in segments cut at white space, so what is held beside the texts sta
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,27 +35,17 @@ _BYTES[65:91] = _BYTES[97:123]
 _NONE = np.zeros(0, np.uint64)
 
 
-def _powers(base: int) -> np.ndarray:
-    steps = np.full(SEGMENT, base, np.uint64)
+@functools.cache
+def _powers(base: int, size: int) -> np.ndarray:
+    """The first powers of an odd number, modulo 2^64."""
+    steps = np.full(size, base, np.uint64)
     steps[0] = 1
     return np.cumprod(steps)
 
 
-class _Tables:
-    """Powers of the base and of its inverse, made when they are first used."""
-
-    up = down = None
-
-    @classmethod
-    def get(cls) -> tuple[np.ndarray, np.ndarray]:
-        if cls.up is None:
-            cls.up, cls.down = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
-        return cls.up, cls.down
-
-
 def _codes(data: np.ndarray, cuts: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word of at most ``SEGMENT`` bytes; no word goes over one of ``cuts``. ``space`` tells which bytes part words."""
-    up, down = _Tables.get()
+    up, down = _powers(_BASE, SEGMENT), _powers(pow(_BASE, -1, 1 << 64), SEGMENT)
     word = ~space[data]
     begin, end = word.copy(), word.copy()
     begin[1:] &= ~word[:-1]
