@@ -334,6 +334,21 @@ def license_header_strip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", canon.strip_license(text, F.lit("sh")).alias("text"))
 
 
+@query(
+    """
+SELECT doc_id, 'block' AS kind, 'int x;' || chr(10) || text AS text FROM documents
+UNION ALL SELECT doc_id, 'other', '/* what it does */' || chr(10) || 'int x;' || chr(10) || text FROM documents
+UNION ALL SELECT doc_id, 'lines', 'int x;' || chr(10) || text FROM documents
+"""
+)
+def license_block_strip(spark, sf_dir):
+    """Every document as C: behind a licence in a block, behind a block that is none, and behind 40 comment lines and blank ones."""
+    heads = {"block": "/*\n * Copyright (c) 2024\n */\n\n", "other": "/* what it does */\n", "lines": "// SPDX-License-Identifier: MIT\n" + "// more\n" * 39 + "\n\n"}
+    docs = table(spark, sf_dir, "documents")
+    forms = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.concat(F.lit(h + "int x;\n"), F.col("text")).alias("text")) for k, h in heads.items()])).alias("f")
+    return docs.select("doc_id", forms).select("doc_id", "f.kind", canon.strip_license(F.col("f.text"), F.lit("c")).alias("text"))
+
+
 _SHELL_SQL = """
 WITH src AS (SELECT o_orderkey, '#!/bin/sh' || chr(10) || '# order ' || o_orderkey || chr(10) || chr(10) || '  ' || chr(10) || 'echo ' || o_orderpriority || '   ' || chr(10) ||
   '   # status' || chr(10) || chr(10) || 'exit ' || o_custkey || ' # kept' || chr(10) AS text FROM orders),
@@ -353,6 +368,19 @@ def shell_canonicalize(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", canon.canon_shell(script).alias("text"))
 
 
+@query(
+    """
+SELECT o_orderkey, '#!/bin/sh ' || chr(27) || '[0m' || chr(10) || 'echo "' || o_orderpriority || '"' || chr(10) || chr(10) || 'exit ' || o_custkey || chr(10) AS text FROM orders
+"""
+)
+def shell_colours(spark, sf_dir):
+    """A script for every order with control sequences, as bytes and as they are spelled: in a comment, in a text, alone on a line."""
+    script = F.concat(
+        F.lit('#!/bin/sh \x1b[0m\n\x1b[1;31m# status\x1b[0m\necho "\\033[32m'), F.col("o_orderpriority"), F.lit('\\e[0m\\x1b[K"\n\x1b[2K\n\nexit '), F.col("o_custkey"), F.lit("\n")
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", canon.canon_shell(script).alias("text"))
+
+
 @query(
     """
 WITH src AS (SELECT c_custkey, chr(10) || '# customer' || chr(10) || 'name: ' || c_name || '  ' || chr(10) || chr(10) || chr(10) || '  # segment' || chr(10) || '  segment: ' || c_mktsegment AS text FROM customer),
@@ -626,6 +654,22 @@ def chunk_documents(spark, sf_dir):
     return rows.join(docs.select("path", F.col("file_ord").alias("doc_id")), "path").select("doc_id", "chunk_no", "chars", "sha256", "whole_sha")
 
 
+@query(
+    """
+WITH t AS (SELECT c_custkey, length('«' || c_custkey % 100 || '»') AS size FROM customer),
+c AS (SELECT c_custkey, size, 64 // size AS fit, unnest(range(1, CAST(ceil(50 / (64 // size)) AS BIGINT) + 1)) AS chunk_no FROM t)
+SELECT c_custkey, chunk_no, size * least(fit, 50 - (chunk_no - 1) * fit) AS chars FROM c
+"""
+)
+def chunk_tokens(spark, sf_dir):
+    """Fifty placeholders in a row for every customer, in chunks of 64 characters that split none."""
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("path"), F.repeat(F.concat(F.lit("«"), F.col("c_custkey") % 100, F.lit("»")), F.lit(50)).alias("text")
+    )
+    cut = chunks.chunk(rows, [f"«{k}»" for k in range(100)], 64)
+    return cut.select(F.col("path").cast("long").alias("c_custkey"), F.col("chunk_no").cast("long").alias("chunk_no"), F.length("text").cast("long").alias("chars"))
+
+
 @query(
     "SELECT conv_id || '/' || turn || '.txt' AS path, sha256(coalesce(text, '')) AS sha256_full, 200 AS chunk_size, length(coalesce(text, '')) AS total_len FROM conversations"
 )
