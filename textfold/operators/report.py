@@ -62,10 +62,13 @@ def stages(raw: DataFrame, canonical: DataFrame, encoded: DataFrame, mapping_tok
     return out.withColumn("saved_tokens", saved).withColumn("saved_pct", _pct(saved, F.col("before_tokens")))
 
 
-def calibration(samples: DataFrame, real: Column, heuristic: Column) -> DataFrame:
-    """One row that holds a heuristic count against a real one: errors in percent, ratio, and the mean difference with its 95 % interval."""
-    diff, ratio = F.col("h") - F.col("r"), F.when(F.col("r") > 0, F.col("h") / F.col("r")).otherwise(F.lit(1.0))
-    error = F.when(F.col("r") > 0, F.abs(diff) * 100.0 / F.col("r")).otherwise(F.lit(0.0))
+def calibration(samples: DataFrame, real: Column, heuristic: Column, empty_ratio: float = 1.0, empty_error: float = 0.0) -> DataFrame:
+    """One row that holds a heuristic count against a real one: errors in percent, ratio, and the mean difference with its 95 % interval.
+
+    ``empty_ratio`` and ``empty_error`` are those of samples without real tokens; samples whose real count is null have neither.
+    """
+    diff, ratio = F.col("h") - F.col("r"), F.when(F.col("r") > 0, F.col("h") / F.col("r")).when(F.col("r") <= 0, F.lit(empty_ratio))
+    error = F.when(F.col("r") > 0, F.abs(diff) * 100.0 / F.col("r")).when(F.col("r") <= 0, F.lit(empty_error))
     row = samples.select(real.cast("long").alias("r"), heuristic.cast("long").alias("h")).agg(
         F.count("*").alias("samples"),
         F.sum("r").alias("total_real_tokens"),
