@@ -98,10 +98,14 @@ def token_ratio(samples: DataFrame, real: Column, heuristic: Column) -> DataFram
 
 
 def manifest(files: DataFrame, used: DataFrame, root: str | None) -> DataFrame:
-    """``i, path, sha, ph``: files in order of path, each with the tokens it uses. ``files`` has ``path, file_ord, sha256``, ``used`` the places of tokens."""
+    """``i, path, sha, ph``: files in order of path, each with the tokens it uses. ``files`` has ``path, file_ord, sha256``, ``used`` the places of tokens.
+
+    Other columns of ``files`` follow.
+    """
     tokens = used.select("token", "path").distinct().groupBy("path").agg(F.sort_array(F.collect_list("token")).alias("ph"))
     return files.join(tokens, "path", "left").select(
-        F.col("file_ord").alias("i"), relative_path(F.col("path"), root).alias("path"), F.col("sha256").alias("sha"), F.coalesce("ph", F.array().cast("array<string>")).alias("ph")
+        F.col("file_ord").alias("i"), relative_path(F.col("path"), root).alias("path"), F.col("sha256").alias("sha"), F.coalesce("ph", F.array().cast("array<string>")).alias("ph"),
+        *[files[c] for c in files.columns if c not in ("path", "file_ord", "sha256")],
     )
 
 

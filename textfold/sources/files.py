@@ -137,7 +137,11 @@ def single_text(spark: SparkSession, text: str, name: str = "stdin.txt") -> Data
     return spark.createDataFrame([(name, 0, text)], "path string, file_ord long, text string")
 
 
+def document_path() -> Column:
+    """The path of a document, from its source, language and id."""
+    return F.format_string("%s/%s/%08d.txt", "source", "lang", "doc_id")
+
+
 def from_documents(documents: DataFrame) -> DataFrame:
     """A table of documents as a corpus: paths from source, language and id; the id is the order. Rows without a text are no files and are left out."""
-    path = F.format_string("%s/%s/%08d.txt", "source", "lang", "doc_id")
-    return documents.where(F.col("text").isNotNull()).select(path.alias("path"), F.col("doc_id").alias("file_ord"), "text")
+    return documents.where(F.col("text").isNotNull()).select(document_path().alias("path"), F.col("doc_id").alias("file_ord"), "text")
