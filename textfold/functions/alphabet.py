@@ -6,6 +6,7 @@ need from the corpus is gathered as bounded aggregates.
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -16,8 +17,9 @@ from .tokens import heuristic_count
 
 #: The pool of single-character placeholders, and the styles.
 POOL_START, POOL_SIZE = 0x4E00, 2500
-#: How far a wider pool goes: on to the last code point before the surrogates, then through the ideographs of planes 2 and 3.
-POOL_BREAK, POOL_ASTRAL, POOL_MOST = 0xD800, 0x20000, 110_000
+#: How far a wider pool goes: on to the last code point before the surrogates, then from plane 2 to the end of Unicode.
+POOL_BREAK, POOL_ASTRAL, POOL_END = 0xD800, 0x20000, 0x110000
+POOL_MOST = POOL_BREAK - POOL_START + POOL_END - POOL_ASTRAL
 STYLES = {
     "single_token": "{}",
     "prefix_compact": "^{}",
@@ -39,6 +41,14 @@ def pool_character(k: int) -> str:
     return chr(cp if cp < POOL_BREAK else cp - POOL_BREAK + POOL_ASTRAL)
 
 
+def pool_place(ch: str) -> int:
+    """The place of a character in the pool, or -1."""
+    cp = ord(ch)
+    if cp >= POOL_ASTRAL:
+        return cp - POOL_ASTRAL + POOL_BREAK - POOL_START
+    return cp - POOL_START if POOL_START <= cp < POOL_BREAK else -1
+
+
 def corpus_charset(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``ch, n_docs``: the distinct characters of a corpus. Each document counts a character once, before the shuffle."""
     chars = F.explode(F.array_distinct(F.split(F.col(text_col), "")))
@@ -47,8 +57,8 @@ def corpus_charset(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def noted_characters(docs: DataFrame, text_col: str = "text", pool: int = POOL_SIZE) -> set[str]:
     """Those of the characters an alphabet may use that the corpus holds: as many as its pool and a few more at most."""
-    found = corpus_charset(docs, text_col).where(F.col("ch").rlike(r"^[一-\x{d7ff}\x{20000}-\x{323af}^~§¶‡†␞␟]$"))
-    return {r["ch"] for r in found.collect()} & ({pool_character(k) for k in range(pool)} | {"^", "~"} | set(SENTINELS))
+    found = corpus_charset(docs, text_col).where(F.col("ch").rlike(r"^[一-\x{d7ff}\x{20000}-\x{10ffff}^~§¶‡†␞␟]$"))
+    return {ch for ch, _ in found.collect() if pool_place(ch) < pool}
 
 
 def free_alphabet(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -134,7 +144,7 @@ def build_alphabet(docs: DataFrame, alphabet: Alphabet, needed: int, text_col: s
     style = alphabet.style
     if style == "single_token":
         used = noted_characters(docs, text_col, alphabet.pool)
-        tokens = [c for c in map(pool_character, range(alphabet.pool)) if c not in used][:needed]
+        tokens = list(itertools.islice((c for c in map(pool_character, range(alphabet.pool)) if c not in used), needed))
         style = "prefix_compact"
     if len(tokens) < needed:
         before, after = (alphabet.prefix, "") if style == "prefix_compact" else STYLES[style].split("{}")
