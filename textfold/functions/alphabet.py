@@ -32,7 +32,7 @@ STYLES = {
 FALLBACKS = ("prefix_compact", "guillemet", "ascii_compact", "classic")
 SENTINELS = ("§", "¶", "‡", "†", "␞", "␟")
 #: Shapes that count as placeholders where no codebook says otherwise.
-ANY_TOKEN = r"__[sbw]\d+__|«w?\d+»|\^w?\d+|~w?\d+~|§w?\d+§|⟦w?\d+⟧|[一-\ud7ff\U00020000-\U000323af]"
+ANY_TOKEN = r"__[sbw]\d+__|«w?\d+»|\^w?\d+|~w?\d+~|§w?\d+§|⟦w?\d+⟧|[一-\ud7ff\U00020000-\U0010ffff]"
 
 
 def pool_character(k: int) -> str:
